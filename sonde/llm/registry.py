@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from sonde.llm import quality_rules
+from sonde.llm import decontaminate, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_simhash": simhash.op4_simhash,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
 }

@@ -48,13 +48,14 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the folder behind a table that save() returned and nothing reads any more."""
-    for name in df.inputFiles()[:1]:
-        remove(spark, name.rsplit("/", 1)[0])
+def drop(saved: DataFrame) -> None:
+    """Deletes what save() wrote, once nothing reads it any more."""
+    remove(saved.sparkSession, saved._scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -82,7 +82,7 @@ def gram_hashes(words: Column, k: int) -> Column:
 
 
 def sliding(values: Column, width: int, f: Callable[[Column, Column], Column]) -> Column:
-    """f (least or greatest) over all runs of `width` neighbours, by doubling."""
+    """f (a lambda of two, such as the least) over all runs of `width` neighbours, by doubling."""
 
     def grow(v: Column, have: int) -> Column:
         if have == width:
