@@ -1,0 +1,54 @@
+"""A corpus from raw documents to token ids, in stages that each write what they keep.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet in
+the shared folder and hands what it reads back to the next stage. All stages but the last
+return the columns that they were given. Documents that fail the quality rules go; of near
+duplicates the one with the smallest id stays; documents with a benchmark passage go; sources
+are mixed to their targets, where a document may come twice; the rest is encoded into a
+content-addressed store, of which one row for each document is returned.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sonde.llm import decontaminate, mixing, quality_rules, scratch, simhash, token_store
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.keep_clean(docs, items)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return token_store.tokenized(docs, token_store.word_bpe())
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", mix_sources),
+    ("token_store", encode),
+]
+#: The fingerprints, the sampling and the tokenizer have no counterpart in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sonde.llm import decontaminate, quality_rules, simhash
+import corpus_pipeline
+from sonde.llm import decontaminate, mixing, quality_rules, simhash, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_source_mixing": mixing.op2_source_mixing,
+    "op3_token_store": token_store.op3_token_store,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
