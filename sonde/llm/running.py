@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from sonde.functions.shipping import map_batches
 from sonde.llm import scratch
 
 
@@ -40,7 +41,7 @@ def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), *before], names=[*columns, "_part", *sums])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    summed = scratch.save(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "running")
+    summed = scratch.save(map_batches(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), run, schema), "running")
     totals = summed.groupBy("_part").agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()])
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_offset_{n}") for n in sums])

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonde.functions.shipping import map_batches
 from sonde.llm import scratch
 from sonde.llm.components import components
 
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             values = np.array([fingerprint(t.as_py()) for t in b.column(len(others))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values)], names=[*others, "fp"])
 
-    return docs.select(*others, text).mapInArrow(run, schema)
+    return map_batches(docs.select(*others, text), run, schema)
 
 
 # -- the index of one or more groups --------------------------------------------------------
@@ -193,7 +194,7 @@ def local_stars(distinct: DataFrame, limit: int = MAX_BITS, most: int = GROUP) -
         rows = rows.select("fp", "g.mask", "g.fixed")
         counts = rows.groupBy("mask", "fixed").agg(F.count("*").alias("n")).filter("n > 1")
         sized = scratch.save(rows.join(counts, ["mask", "fixed"]), "groups")
-        found = sized.filter(F.col("n") <= most).select("fp", "mask", "fixed").repartition("mask", "fixed").sortWithinPartitions("mask", "fixed").mapInArrow(run, schema)
+        found = map_batches(sized.filter(F.col("n") <= most).select("fp", "mask", "fixed").repartition("mask", "fixed").sortWithinPartitions("mask", "fixed"), run, schema)
         out = found if out is None else out.unionByName(found)
         large = sized.filter(F.col("n") > most)
         finer = {m: [m | c for c in _cut(everything & ~m, limit + 1)] for m in masks}
