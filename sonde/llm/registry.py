@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sonde.llm import decontaminate, mixing, quality_rules, simhash, token_store
+from sonde.llm import decontaminate, license_scan, mixing, quality_rules, simhash, token_counts, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,9 +11,12 @@ QUERIES = {
     "op3_token_store": token_store.op3_token_store,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op10_license_scan": license_scan.op10_license_scan,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op10_license_scan": license_scan.ORACLE,
 }
