@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sonde.llm import decontaminate, license_scan, mixing, quality_rules, simhash, token_counts, token_store
+from sonde.llm import decontaminate, license_scan, mixing, quality_rules, simhash, suffix_dedup, token_counts, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_license_scan": license_scan.op10_license_scan,
     "pipeline": corpus_pipeline.run,
 }
