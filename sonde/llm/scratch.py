@@ -53,6 +53,17 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def by_uid(docs: DataFrame) -> DataFrame:
+    """docs in files by the column `uid`, so that later joins on it need not deal texts out again."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"sonde_texts_{uuid.uuid4().hex}", new_path(spark, "texts")
+    docs.repartition(parts, "uid").write.bucketBy(parts, "uid").option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalogue; the files stay
+    return out
+
+
 def drop(saved: DataFrame) -> None:
     """Deletes what save() wrote, once nothing reads it any more."""
     remove(saved.sparkSession, saved._scratch_path)

@@ -22,7 +22,6 @@ further columns have no influence; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -303,17 +302,6 @@ def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out["uid"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["left"], pa.int32()), pa.array(out["context"], pa.binary()), pa.array(out["alone"], pa.bool_()), pa.array(out["low"], pa.int32()), pa.array(out["high"], pa.int32()), pa.array(out["gram"], pa.int64()), pa.array(out["c1"], pa.int64()), pa.array(out["c2"], pa.int64())], names=list(out))
 
 
-def _by_uid(docs: DataFrame) -> DataFrame:
-    """docs in files by uid, so that later joins on it need not deal texts out again."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"sonde_texts_{uuid.uuid4().hex}", scratch.new_path(spark, "texts")
-    docs.repartition(parts, "uid").write.bucketBy(parts, "uid").option("path", path).option("compression", "zstd").saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # of the catalogue; the files stay
-    return out
-
-
 def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(uid, start, stop): byte ranges of docs (uid, text) that lie in repeated strings; they may overlap."""
     schema = T.StructType([*_ITEM, T.StructField("after", T.IntegerType()), *_KEYS[2:]])
@@ -350,7 +338,7 @@ def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans) for each row; kept has the remaining bytes."""
-    rows = _by_uid(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    rows = scratch.by_uid(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     lists = repeated_ranges(rows, group).groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
 
