@@ -42,7 +42,7 @@ from sonde.functions.shipping import map_batches, ship
 from sonde.llm import scratch
 
 DEPTH, NODES = 5, 2_000_000
-BATCH_BYTES, PIECE_BYTES = 24_000_000, 4_000_000
+BATCH_BYTES, PIECE_BYTES = 16_000_000, 4_000_000
 FOLDS, HELD_OUT = 7, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = "\n"  # the end's word; no white-space word can be this
@@ -95,23 +95,38 @@ def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple
 
 
 def log_probabilities(model: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grams: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each string's last byte after those before it."""
+    """log10 of the probability of each string's last byte after those before it.
+
+    grams ascend. Strings that end alike share what shallow contexts say, so each depth is
+    looked up once for each distinct end, from the empty context downwards.
+    """
+    ends, parent = [grams], []
+    for d in range(len(model) - 2, -1, -1):
+        shorter, inverse = np.unique(ends[-1] & _U((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        ends.append(shorter)
+        parent.append(inverse)
+    ends, parent = ends[::-1], [None, *parent[::-1]]
     total = np.zeros(len(grams))
     for bit in range(8):
-        node = ((grams & _U(255)) >> _U(8 - bit)) | _U(1 << bit)
-        one = (grams >> _U(7 - bit)) & _U(1) == 1
-        p, seen = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
-        for d in range(len(model) - 1, -1, -1):
-            key, estimate, stop = model[d]
-            if not len(key):
-                continue
-            wanted = ((grams >> _U(8) & _U((1 << 8 * d) - 1)) << _U(8)) | node
-            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-            hit = key[at] == wanted
-            mixed = np.where(seen, stop[at] * estimate[at] + (1.0 - stop[at]) * p, estimate[at])
-            p = np.where(hit, mixed, p)
-            seen |= hit
-        total += np.log10(np.where(one, p, 1 - p))
+        # settled probability, weight that is left, and the estimate and stop of the last node met
+        done, left, estimate, stop = np.full(1, 0.5), np.zeros(1), np.zeros(1), np.zeros(1)
+        for d, (key, guesses, stops) in enumerate(model):
+            end = ends[d]
+            if d:
+                done, left, estimate, stop = (x[parent[d]] for x in (done, left, estimate, stop))
+            else:
+                done, left, estimate, stop = (np.repeat(x, len(end)) for x in (done, left, estimate, stop))
+            wanted = ((end >> _U(8)) << _U(8)) | ((end & _U(255)) >> _U(8 - bit)) | _U(1 << bit)
+            at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+            hit = key[at] == wanted if len(key) else np.zeros(len(end), bool)
+            at = at[hit]
+            share = left * estimate
+            done = np.where(hit, done + share * stop, done + share) if d else np.where(hit, 0.0, done)
+            left = np.where(hit, left * (1 - stop), 0.0) if d else hit.astype(np.float64)
+            estimate, stop = np.zeros(len(end)), np.zeros(len(end))
+            estimate[hit], stop[hit] = guesses[at], stops[at]
+        p = done + left * estimate
+        total += np.log10(np.where((grams >> _U(7 - bit)) & _U(1) == 1, p, 1 - p))
     return total
 
 
@@ -256,7 +271,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: in
     asked = counted.filter("batch IS NOT NULL").select("batch", "key", "n")
     sums = scratch.save(asked.groupBy("key").agg(F.sum("n").alias("c")), "words")
     n_all, n_kinds = sums.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    answers = asked.select("batch", "key").distinct().join(sums, "key").select("batch", "key", "c")
+    answers = asked.join(sums, "key").select("batch", "key", "c")
     schema = pa.schema([("doc_id", to_arrow_type(ids)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -264,42 +279,45 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: in
         key, count = right.column("key").to_numpy()[order], right.column("c").to_numpy()[order]
         unit = math.log10(n_all + n_kinds + 1)
         out = []
-        for b in left.combine_chunks().to_batches(max_chunksize=2000):
+        for b in left.combine_chunks().to_batches():
             lower, lists = _words(b.column("text"))
             flat = lists.flatten().dictionary_encode()
             c = count[np.searchsorted(key, _hashes(flat.dictionary))] if len(flat.dictionary) else np.zeros(0, np.int64)
             end = count[np.searchsorted(key, _hashes(pa.array([_END])))][0]
             per, known = np.log10(c + 1.0)[flat.indices.to_numpy()], (c > 0)[flat.indices.to_numpy()]
             offsets = lists.offsets.to_numpy()
-            spread = lambda v, o=offsets: np.diff(np.r_[0, np.cumsum(v)][o])
             n = np.diff(offsets).astype(np.int64) + 1
             base = np.array([math.fsum(per[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]) + math.log10(end + 1.0) - n * unit
-            score, part, size = [], [], 0
-            for t in [*lower, None]:
-                if part and (t is None or size + len(t) > PIECE_BYTES):
-                    score.append(text_scores(model.value, part))
-                    part, size = [], 0
-                if t is not None:
-                    part.append(t)
-                    size += len(t)
+            n_known = np.diff(np.r_[0, np.cumsum(known)][offsets]) + int(end > 0)
             fold = [held_out(d) for d in b.column("doc_id").to_pylist()]
-            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fold), pa.array(n), pa.array(spread(known.astype(np.int64)) + (end > 0)), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(np.concatenate(score))], schema=schema))
+            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fold), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(text_scores(model.value, lower))], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
     spark_schema = T.StructType([T.StructField("doc_id", ids), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     return held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, spark_schema)
 
 
-def text_scores(model: list, texts: list[bytes]) -> np.ndarray:
-    """log10 of each text's probability, its end included."""
-    grams, ends = grams_of(texts)
-    order = np.argsort(grams)
-    ordered = grams[order]
-    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    each = log_probabilities(model, ordered[first])
-    cost = np.empty(len(grams))
-    cost[order] = np.repeat(each, np.diff(np.r_[first, len(grams)]))
-    return np.add.reduceat(cost, np.r_[0, ends[:-1]])
+def text_scores(model: list, texts: list[bytes], piece_bytes: int = PIECE_BYTES) -> np.ndarray:
+    """log10 of each text's probability, its end included; distinct strings are looked up once."""
+    pieces, part, size = [], [], 0
+    for t in [*texts, None]:
+        if part and (t is None or size + len(t) > piece_bytes):
+            grams, ends = grams_of(part)
+            order = np.argsort(grams)
+            grams = grams[order]
+            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+            pieces.append((order.astype(np.int32), first, grams[first], ends))
+            part, size = [], 0
+        if t is not None:
+            part.append(t)
+            size += len(t)
+    every = np.unique(np.concatenate([p[2] for p in pieces])) if pieces else np.zeros(0, _U)
+    each, out = log_probabilities(model, every), []
+    for order, first, distinct, ends in pieces:
+        cost = np.empty(len(order))
+        cost[order] = np.repeat(each[np.searchsorted(every, distinct)], np.diff(np.r_[first, len(order)]))
+        out.append(np.add.reduceat(cost, np.r_[0, ends[:-1]]))
+    return np.concatenate([*out, np.zeros(0)])
 
 
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
