@@ -6,7 +6,8 @@ chunk is named by the SHA-256 of its ids and stored once; a document is a recipe
 of its chunks in order under a Merkle root; a manifest ties ranges of recipes together.
 
 The store's folder holds three Parquet tables:
-  chunks    digest, n_ids, ids (little-endian, 2 bytes an id where all fit, else 4)
+  packs     a row for each chunk: digest, n_ids, ids (little-endian, 2 bytes an id where all
+            fit, else 4); and the documents' recipes as they came, without a start
   recipes   doc_id, start, n_tokens, root, digests, sizes; in ascending doc_id order
   manifest  first and last doc_id, documents, ids and Merkle root of each range of recipes
 
@@ -21,6 +22,8 @@ table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -32,81 +35,104 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sonde.functions.shipping import map_batches
 from sonde.llm import scratch
 from sonde.llm.running import running_sums
 
 END_ID = 1
-ROLL, CUT_BITS, LONGEST = 16, 9, 8192
-BATCH_BYTES, KNOWN_WORDS, SEEN_CHUNKS = 12_000_000, 400_000, 1_000_000
+ROLL, CUT_BITS, LONGEST = 16, 10, 8192
+BATCH_BYTES, KNOWN_WORDS, SEEN_CHUNKS = 8_000_000, 700_000, 500_000
 _MARK = "\x00"
-
-
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+#: Words that only have to be put in lower case and parted from a last full stop or comma, under
+#: the steps that _COMMON lists.
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+_COMMON = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 
 
 class WordEncoder:
-    """Ids of texts, by the ids of their white-space words."""
+    """Ids of texts, by the ids of their white-space words.
+
+    Words are kept with their ids from one batch to the next, up to KNOWN_WORDS of them.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        mark = self._ids([f"a {_MARK} a", "a"])
-        self.mark = int(mark[0][1]) if len(mark[0]) == 3 and len(mark[1]) == 1 else None
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        spec = json.loads(self.whole.to_str())
+        self.bare = None
+        if (spec["normalizer"], spec["pre_tokenizer"]) == _COMMON:
+            steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+            self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}, "added_tokens": []}))
+        mark = self.whole.encode(f"a {_MARK} a", add_special_tokens=False).ids
+        self.mark = mark[1] if len(mark) == 3 else None
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.pool = pa.array([], pa.string()), np.zeros(0, np.uint32)
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # ids of the word k stand from ends[k] to ends[k + 1]; the first entry is the end id
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = np.array([END_ID], np.uint32), np.array([0, 1], np.int32)
 
-    def _learn(self, words: list[str]) -> None:
-        """Adds words; those without the mark are encoded many at a time, with marks between."""
-        plain = [w for w in words if _MARK not in w] if self.mark is not None else []
-        others = [w for w in words if self.mark is None or _MARK in w]
-        parts = [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+    def _encoded(self, tokenizer, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids and their numbers for each word; many words are given at once, with marks between."""
+        each = lambda part: [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         ids, length = [], []
-        for part, got in zip(parts, self._ids([f" {_MARK} ".join([*p, ""]) for p in parts]), strict=True):
-            ends = np.flatnonzero(got == self.mark) if self.mark is not None else []
-            if len(ends) != len(part):  # a word gave the mark's id: each for itself
-                alone = self._ids(part)
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            got = each([f" {_MARK} ".join([*part, ""])])[0]
+            ends = np.flatnonzero(got == self.mark)
+            if self.mark is None or len(ends) != len(part):  # a word gives the mark's id: each for itself
+                alone = each(part)
                 ids += alone
-                length += [len(a) for a in alone]
+                length += map(len, alone)
             else:
                 ids.append(np.delete(got, ends))
                 length += (np.diff(np.r_[-1, ends]) - 1).tolist()
-        alone = self._ids(others)
-        ids += alone
-        length += [len(a) for a in alone]
-        length = np.array(length, np.int64)
-        self.start = np.r_[self.start, len(self.pool) + np.cumsum(length) - length]
-        self.length = np.r_[self.length, length]
-        self.pool = np.concatenate([self.pool, *ids])
-        self.words = pa.concat_arrays([self.words, pa.array(plain + others, pa.string())])
+        return ids, length
+
+    def _learn(self, words: pa.Array) -> None:
+        """Adds words. Those of plain letters, as most are, need no general rules to be split."""
+        plain = pc.match_substring_regex(words, _PLAIN) if self.bare is not None else pa.array(np.zeros(len(words), bool))
+        simple, other = words.filter(plain), words.filter(pc.invert(plain))
+        split = pc.replace_substring_regex(pc.utf8_lower(simple), "([.,])$", r" \1")
+        found = [self._encoded(self.bare, split.to_pylist()), self._encoded(self.whole, other.to_pylist())]
+        length = np.array([n for _, ns in found for n in ns], np.int32)
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(length, dtype=np.int32)].astype(np.int32)
+        self.pool = np.concatenate([self.pool, *[i for ids, _ in found for i in ids]])
+        self.known.update(zip([*simple.to_pylist(), *other.to_pylist()], range(len(self.known) + 1, len(self.ends) - 1), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and where each text's ids end."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        coded = lists.flatten().cast(pa.string()).dictionary_encode()
-        if len(self.words) > KNOWN_WORDS:
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        if len(self.known) > KNOWN_WORDS:
             self._forget()
-        at = pc.index_in(coded.dictionary, value_set=self.words)
-        if at.null_count:
-            self._learn(coded.dictionary.filter(pc.is_null(at)).to_pylist())
-            at = pc.index_in(coded.dictionary, value_set=self.words)
-        places = at.to_numpy()
-        start, length = np.r_[self.start[places], len(self.pool)], np.r_[self.length[places], 1]
-        pool = np.r_[self.pool, np.uint32(END_ID)]
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        word = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:] - offsets[0], len(places))
-        n = length[word]
-        upto = np.cumsum(n)
-        ids = pool[np.repeat(start[word] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        return ids, upto[offsets[1:] - offsets[0] + np.arange(len(texts))] if len(texts) else upto
+        words, known = coded.dictionary.to_pylist(), self.known
+        new = [w for w in words if w not in known]
+        if new:
+            self._learn(pa.array(new, pa.string()))
+        place = np.fromiter(map(known.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+        offsets = lists.offsets.to_numpy()
+        word = np.insert(place, offsets[1:], 0)
+        ids = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(word)).flatten().to_numpy()
+        upto = np.cumsum(np.diff(self.ends)[word], dtype=np.int64)
+        return ids, upto[offsets[1:] + np.arange(len(texts))]
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One for each worker process, so that later tasks know the words of earlier ones."""
+    return WordEncoder(path)
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -172,7 +198,7 @@ def _stage(path: str):
     """Rows of two kinds: a document's recipe, and a chunk that the task has not given before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = WordEncoder(path), set()
+        encoder, seen = _encoder(path), set()
         schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
         for piece in (p for b in batches for p in _slices(b, 2)):
             ids, ends = encoder.encode(piece.column(2))
@@ -196,28 +222,34 @@ def _stage(path: str):
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with equal digests lie in one task, at most one from each writer; one of them stays."""
+    """Chunks with equal digests lie in one task, at most one from each writer; one of them stays."""
     seen: set[bytes] = set()
     for b in batches:
-        keep = [k for k, d in enumerate(b.column(0).to_pylist()) if d not in seen and not seen.add(d)]
-        yield b.take(pa.array(keep, pa.int64()))
+        keep = [k for k, d in enumerate(b.column("digest").to_pylist()) if d is None or (d not in seen and not seen.add(d))]
+        yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the store of all rows of docs to a new folder `path`."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
-    staged = scratch.save(rows.mapInArrow(_stage(tokenizer), _STAGED), "staged")
-    chunks = staged.filter("digest IS NOT NULL").select("digest", "n_ids", "ids").repartition("digest")
-    chunks.mapInArrow(_first_of_each, chunks.schema).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = staged.filter("digest IS NULL").select("doc_id", "uid", "n_tokens", "root", "digests", "sizes")
+    staged = map_batches(rows, _stage(tokenizer), _STAGED)
+    dealt = staged.repartition(parts, F.coalesce("digest", F.col("uid").cast("string").cast("binary")))
+    written = map_batches(dealt, _first_of_each, _STAGED).write.option("compression", "lz4").option("parquet.enable.dictionary", "false")
+    written.parquet(f"{path}/packs")
+    recipes = spark.read.schema(_STAGED).parquet(f"{path}/packs").filter("digest IS NULL").select("doc_id", "uid", "n_tokens", "root", "digests", "sizes")
     placed = running_sums(recipes, ["doc_id", "uid"], {"start": "n_tokens"})
-    spark = docs.sparkSession
-    ordered = placed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "start", "uid").sortWithinPartitions("start", "uid")
+    ordered = placed.repartitionByRange(parts, "start", "uid").sortWithinPartitions("start", "uid")
     ordered.select("doc_id", "start", "n_tokens", "root", "digests", "sizes").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    scratch.drop(staged)
     spark.read.parquet(f"{path}/recipes").transform(_manifest).write.parquet(f"{path}/manifest")
 
 
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, n_ids, ids) of each stored chunk."""
+    return spark.read.schema(_STAGED).parquet(f"{path}/packs").filter("digest IS NOT NULL").select("digest", "n_ids", "ids")
+
+
 def _manifest(recipes: DataFrame) -> DataFrame:
     """A row for each range of the recipes: bounds, sums and the Merkle root of their roots."""
     schema = T.StructType([T.StructField("first_start", T.LongType()), T.StructField("first_doc", T.LongType()), T.StructField("last_doc", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("root", T.BinaryType())])
@@ -229,7 +261,7 @@ def _manifest(recipes: DataFrame) -> DataFrame:
                 ids = [x for x in b.column(0).to_pylist() if x is not None]
                 yield pa.RecordBatch.from_pydict({"first_start": [b.column(1)[0].as_py()], "first_doc": [min(ids, default=None)], "last_doc": [max(ids, default=None)], "n_docs": [b.num_rows], "n_tokens": [pc.sum(b.column(2)).as_py()], "root": [merkle_root(b.column(3).to_pylist())]}, schema=pa.schema([("first_start", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
 
-    return recipes.select("doc_id", "start", "n_tokens", "root").mapInArrow(run, schema)
+    return map_batches(recipes.select("doc_id", "start", "n_tokens", "root"), run, schema)
 
 
 # -- reading back ---------------------------------------------------------------------------
@@ -284,7 +316,7 @@ def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(zlib.crc32(ids))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crcs, pa.int64())], names=["digest", "crc"])
 
-    return spark.read.parquet(f"{path}/chunks").select("digest", "n_ids", "ids").mapInArrow(run, schema)
+    return map_batches(stored_chunks(spark, path), run, schema)
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -312,7 +344,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -325,7 +357,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([unpack(d, n).tobytes() for n, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.binary())], names=["digest", "ids"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n_ids", "ids").mapInArrow(wide, schema)
+    chunks = map_batches(stored_chunks(spark, path), wide, schema)
     whole = parts.join(chunks, "digest").groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("c"))
     return whole.select("doc_id", "start", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
