@@ -43,9 +43,10 @@ END_ID = 1
 ROLL, CUT_BITS, LONGEST = 16, 10, 8192
 BATCH_BYTES, KNOWN_WORDS, SEEN_CHUNKS = 8_000_000, 700_000, 500_000
 _MARK = "\x00"
-#: Words that only have to be put in lower case and parted from a last full stop or comma, under
-#: the steps that _COMMON lists.
-_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
+#: Letters whose lower case is one letter and that no composition changes, and ASCII signs
+#: (no apostrophe, which may open a contraction) behind them. Under the steps that _COMMON
+#: lists, both are encoded apart.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 _COMMON = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {
@@ -61,7 +62,9 @@ _COMMON = (
 class WordEncoder:
     """Ids of texts, by the ids of their white-space words.
 
-    Words are kept with their ids from one batch to the next, up to KNOWN_WORDS of them.
+    A word of plain letters, as most are, is taken apart into its letters in lower case and the
+    signs behind them, which the general rules would do as well. Parts and all other words are
+    kept with their ids from one batch to the next, up to KNOWN_WORDS of them.
     """
 
     def __init__(self, path: str):
@@ -79,9 +82,10 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        # ids of the word k stand from ends[k] to ends[k + 1]; the first entry is the end id
-        self.known: dict[str, int] = {}
-        self.pool, self.ends = np.array([END_ID], np.uint32), np.array([0, 1], np.int32)
+        # ids of part k stand from ends[k] to ends[k + 1]; the first two parts are the end id and nothing
+        self.parts: dict[str, int] = {}
+        self.others: dict[str, int] = {}
+        self.pool, self.ends = np.array([END_ID], np.uint32), np.array([0, 1, 1], np.int32)
 
     def _encoded(self, tokenizer, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
         """Ids and their numbers for each word; many words are given at once, with marks between."""
@@ -100,32 +104,37 @@ class WordEncoder:
                 length += (np.diff(np.r_[-1, ends]) - 1).tolist()
         return ids, length
 
-    def _learn(self, words: pa.Array) -> None:
-        """Adds words. Those of plain letters, as most are, need no general rules to be split."""
-        plain = pc.match_substring_regex(words, _PLAIN) if self.bare is not None else pa.array(np.zeros(len(words), bool))
-        simple, other = words.filter(plain), words.filter(pc.invert(plain))
-        split = pc.replace_substring_regex(pc.utf8_lower(simple), "([.,])$", r" \1")
-        found = [self._encoded(self.bare, split.to_pylist()), self._encoded(self.whole, other.to_pylist())]
-        length = np.array([n for _, ns in found for n in ns], np.int32)
-        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(length, dtype=np.int32)].astype(np.int32)
-        self.pool = np.concatenate([self.pool, *[i for ids, _ in found for i in ids]])
-        self.known.update(zip([*simple.to_pylist(), *other.to_pylist()], range(len(self.known) + 1, len(self.ends) - 1), strict=True))
+    def _places(self, words: pa.Array, known: dict[str, int], tokenizer) -> np.ndarray:
+        """The number of each word's ids; new words are encoded and added."""
+        texts = words.to_pylist()
+        new = list(dict.fromkeys(w for w in texts if w not in known))
+        if new:
+            ids, length = self._encoded(tokenizer, new)
+            known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(length, dtype=np.int32)].astype(np.int32)
+            self.pool = np.concatenate([self.pool, *ids])
+        return np.fromiter(map(known.__getitem__, texts), np.int32, len(texts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and where each text's ids end."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.parts) + len(self.others) > KNOWN_WORDS:
             self._forget()
-        words, known = coded.dictionary.to_pylist(), self.known
-        new = [w for w in words if w not in known]
-        if new:
-            self._learn(pa.array(new, pa.string()))
-        place = np.fromiter(map(known.__getitem__, words), np.int32, len(words))[coded.indices.to_numpy()]
+        words = coded.dictionary
+        place = np.ones((len(words), 2), np.int32)
+        apart = pc.extract_regex(words, _PLAIN) if self.bare is not None else pa.nulls(len(words), pa.struct([("letters", pa.string()), ("signs", pa.string())]))
+        plain = pc.is_valid(apart).to_numpy(zero_copy_only=False)
+        some = apart.filter(pc.is_valid(apart))
+        signs = some.field("signs").dictionary_encode()
+        place[plain, 0] = self._places(pc.utf8_lower(some.field("letters")), self.parts, self.bare)
+        of_signs = np.array([1 if not t else self._places(pa.array([t]), self.parts, self.bare)[0] for t in signs.dictionary.to_pylist()], np.int32)
+        place[plain, 1] = of_signs[signs.indices.to_numpy()]
+        place[~plain, 0] = self._places(words.filter(pc.is_null(apart)), self.others, self.whole)
         offsets = lists.offsets.to_numpy()
-        word = np.insert(place, offsets[1:], 0)
+        word = np.insert(place[coded.indices.to_numpy()], offsets[1:], (0, 1), axis=0).ravel()
         ids = pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.pool)).take(pa.array(word)).flatten().to_numpy()
-        upto = np.cumsum(np.diff(self.ends)[word], dtype=np.int64)
+        upto = np.cumsum(np.diff(self.ends)[word], dtype=np.int64)[1::2]
         return ids, upto[offsets[1:] + np.arange(len(texts))]
 
 
