@@ -29,7 +29,7 @@ _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def _general(line: Column) -> Column:
-    return white_words(F.regexp_replace(line, _VARIABLE, "*"))
+    return white_words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, "*")).otherwise(line))
 
 
 def _tree(words: Column) -> Column:
