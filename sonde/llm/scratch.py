@@ -1,75 +1,7 @@
-"""Intermediate tables in the folder that every executor shares.
-
-A stage that later stages read more than once is written as Parquet below
-``spark.checkpoint.dir`` and read back, which cuts its lineage and survives the loss of
-executors. Only a session on a single machine may go without that setting; it then gets a
-temporary folder, which is removed when the process ends.
-"""
+"""Intermediate tables of the text operators; see `sonde.functions.staging`."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-
-
-def _clean() -> None:
-    for path in _LOCAL:
-        shutil.rmtree(path, ignore_errors=True)
-
-
-atexit.register(_clean)
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, without a slash at its end."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="sonde-"))
-    return f"file://{_LOCAL[0]}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{root(spark)}/sonde/{tag}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to a new folder and returns what reads it back."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def by_uid(docs: DataFrame) -> DataFrame:
-    """docs in files by the column `uid`, so that later joins on it need not deal texts out again."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"sonde_texts_{uuid.uuid4().hex}", new_path(spark, "texts")
-    docs.repartition(parts, "uid").write.bucketBy(parts, "uid").option("path", path).option("compression", "zstd").saveAsTable(name)
-    out = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # of the catalogue; the files stay
-    return out
-
-
-def drop(saved: DataFrame) -> None:
-    """Deletes what save() wrote, once nothing reads it any more."""
-    remove(saved.sparkSession, saved._scratch_path)
-
+from sonde.functions.staging import by_uid, drop, new_path, remove, root, save
 
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["by_uid", "drop", "new_path", "remove", "root", "save"]
