@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 atexit.register(lambda: [shutil.rmtree(p, ignore_errors=True) for p in _LOCAL])
 
 
@@ -32,7 +33,34 @@ def root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{root(spark)}/sonde/{tag}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/sonde/{tag}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+class Steps:
+    """Removes what a step wrote for itself, once the next one begins with other files.
+
+    Steps run one after another, each on what the one before returned and was written
+    elsewhere. A step's folders stay as long as the next one's input reads any of them.
+    """
+
+    def __init__(self):
+        self.made: list[str] = []
+
+    def run(self, step, spark: SparkSession, rows: DataFrame, *more) -> DataFrame:
+        read = rows.inputFiles() if self.made else []
+        kept = []
+        for path in self.made:
+            if any(path.removeprefix("file://") in name for name in read):
+                kept.append(path)
+            else:
+                remove(spark, path)
+        before = len(_MADE)
+        try:
+            return step(spark, rows, *more)
+        finally:
+            self.made = kept + _MADE[before:]
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:
@@ -60,7 +88,8 @@ def by_uid(rows: DataFrame) -> DataFrame:
     """rows in files by the column `uid`, so that later joins on it deal only the other side out."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"sonde_rows_{uuid.uuid4().hex}", new_path(spark, "rows")
+    path = new_path(spark, "rows")
+    name = f"sonde_rows_{uuid.uuid4().hex}"
     rows.repartition(parts, "uid").write.bucketBy(parts, "uid").option("path", path).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # of the catalogue; the files stay
