@@ -54,7 +54,7 @@ def shifted(values: Column, by: int) -> Column:
 
 def zip_shifted(values: Column, other: Column, by: int, f: Callable[[Column, Column], Column]) -> Column:
     """f(values[i], other[i + by]) for each i at which both exist."""
-    n = F.greatest(F.size(values) - by, F.lit(0))
+    n = F.greatest(F.least(F.size(values), F.size(other) - by), F.lit(0))
     return F.zip_with(F.slice(values, 1, n), shifted(other, by), f)
 
 
