@@ -10,28 +10,49 @@ content-addressed store, of which one row for each document is returned.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
+from sonde.functions.staging import Steps
 from sonde.llm import decontaminate, mixing, quality_rules, scratch, simhash, token_store
 
 
+_STEPS = Steps()
+
+
+def _step(function):
+    """The stage, which first removes what the stage before kept for itself on disk."""
+
+    @wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return _STEPS.run(function, spark, docs, sf_dir)
+
+    return stage
+
+
+@_step
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+@_step
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
+@_step
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.keep_clean(docs, items)
 
 
+@_step
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@_step
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_store.tokenized(docs, token_store.word_bpe())
 
@@ -48,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return docs

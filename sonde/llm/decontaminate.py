@@ -131,7 +131,7 @@ def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", literals: int = LITERALS) -> DataFrame:
     """The rows of docs without any hit word, with their own columns."""
-    rows = scratch.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+    rows = scratch.by_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")))
     found = contamination(rows.select("uid", F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{text}`").alias("text")), items, literals)
     return rows.join(found.filter("n_hit > 0").select("uid"), "uid", "left_anti").select("row.*")
 

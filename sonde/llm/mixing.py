@@ -89,7 +89,7 @@ def mix(rows: DataFrame, seed: int = 0) -> DataFrame:
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """docs with each row as often as the mix takes it, with their own columns."""
-    rows = scratch.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+    rows = scratch.by_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")))
     plan = mix(rows.select("uid", F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{source}`").alias("source"), F.col(f"row.`{text}`").alias("text")), seed)
     repeats = plan.filter("times > 0").select("uid", "times")
     return rows.join(repeats, "uid").withColumn("_time", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

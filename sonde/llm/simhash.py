@@ -223,9 +223,10 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that with the smallest id (a null id comes last)."""
-    whole = scratch.save(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
+    whole = scratch.by_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")))
     marked = scratch.save(fingerprints(whole.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "uid", F.col(f"row.`{text}`").alias("text"))), "fingerprints")
-    first = marked.join(with_roots(marked), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m"))
+    least = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m"))  # equal texts go within their tasks
+    first = least.join(with_roots(marked), "fp").groupBy("root").agg(F.min("m").alias("m"))
     return whole.join(first.select("m.uid"), "uid", "left_semi").select("row.*")
 
 
