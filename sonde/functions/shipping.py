@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
+#: Rows that may be whole documents go to Python in batches of this many, unless the application says otherwise.
+BATCH_ROWS, _BATCH_CONF = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application."""
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent.parent
