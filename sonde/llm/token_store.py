@@ -41,7 +41,7 @@ from sonde.llm.running import running_sums
 
 END_ID = 1
 ROLL, CUT_BITS, LONGEST = 16, 10, 8192
-BATCH_BYTES, KNOWN_WORDS, SEEN_CHUNKS = 8_000_000, 700_000, 500_000
+BATCH_BYTES, KNOWN_WORDS, SEEN_CHUNKS = 8_000_000, 800_000, 100_000
 _MARK = "\x00"
 #: Letters whose lower case is one letter and that no composition changes, and ASCII signs
 #: (no apostrophe, which may open a contraction) behind them. Under the steps that _COMMON
@@ -69,14 +69,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
         self.bare = None
-        if (spec["normalizer"], spec["pre_tokenizer"]) == _COMMON:
-            steps = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
-            self.bare = Tokenizer.from_str(json.dumps({**spec, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}, "added_tokens": []}))
+        parts = (self.whole.normalizer, self.whole.pre_tokenizer)
+        if all(parts) and tuple(json.loads(p.__getstate__()) for p in parts) == _COMMON:
+            self.bare = Tokenizer(self.whole.model)  # the same model, not a copy
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         mark = self.whole.encode(f"a {_MARK} a", add_special_tokens=False).ids
         self.mark = mark[1] if len(mark) == 3 else None
         self._forget()
@@ -153,10 +153,10 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for k in range(1, ROLL):
         rolled[k:] += gear[:-k] << np.uint64(k)
     hit = (rolled >> np.uint64(64 - CUT_BITS)) == 0
+    begin = np.r_[0, ends[:-1]][: len(ends)].astype(np.int64)
+    early = np.minimum(begin[:, None] + np.arange(ROLL - 1), ends[:, None] - 1)
+    hit[np.unique(early)] = False  # the window would reach into another document
     hit[1:] &= ~hit[:-1]  # in a run of equal ids, only its first
-    begin = np.r_[0, ends[:-1]]
-    early = np.unique(np.minimum(begin[:, None] + np.arange(ROLL - 1), ends[:, None] - 1)) if len(ends) else begin
-    hit[early] = False  # the window would reach into another document
     at = np.union1d(np.flatnonzero(hit) + 1, ends[ends > begin])
     size = np.diff(np.r_[0, at])
     if len(size) and size.max() > LONGEST:
