@@ -112,13 +112,13 @@ def stream_windows(spark, folder):
 
 # -- cleaning and splits --------------------------------------------------------------------
 
-_SQL_DUP = "(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 7 = 0)"
+_SQL_DUP = "(SELECT * FROM events UNION ALL SELECT * FROM events)"
 
 
 @query(f"SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {_SQL_DUP})) AS n_kept FROM {_SQL_DUP}")
 def dedupe_rows(spark, folder):
     events = table(spark, folder, "events")
-    doubled = events.unionByName(events.filter("event_id % 7 = 0"))
+    doubled = events.unionByName(events)
     return doubled.agg(F.count("*").alias("n_rows")).join(cleaning.drop_repeated_rows(doubled).agg(F.count("*").alias("n_kept")), how="cross")
 
 
@@ -491,43 +491,50 @@ def propagation_early_stop(spark, folder):
     return _state(spark, folder, 0.05)[0].select(F.col("_node").alias("node"), F.col("_cluster").alias("cluster"))
 
 
-def _sql_placed(queries: str, pool: str, more: str = "true") -> str:
-    return f"""SELECT q.id AS vec_id, p.id AS placed_on, list_cosine_similarity(q.x, p.x) AS sim FROM (SELECT * FROM v WHERE {queries}) q JOIN (SELECT * FROM v WHERE {pool}) p ON {more}
+def _sql_placed(pool: str) -> str:
+    return f"""SELECT q.id AS vec_id, p.id AS placed_on, list_cosine_similarity(q.x, p.x) AS sim FROM v q JOIN {pool} p ON q.id <> p.id
 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY sim DESC, p.id) = 1"""
 
 
-def _split_objects(spark, folder) -> tuple[DataFrame, DataFrame]:
+_SQL_POOL = "pool AS (SELECT v.*, s.cluster FROM v JOIN state s ON s.node = v.id WHERE s.cluster <> 0)"
+
+
+def _all_queries(objects: DataFrame) -> DataFrame:
+    """Every object, to be placed on another one."""
+    return objects.select(F.col("_id").alias("_row"), "_vec", F.col("_id").alias("_ex"), "label")
+
+
+def _placed(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    state, _, cores = _state(spark, folder)
     objects = _objects(spark, folder)
-    return objects.filter("_id % 5 = 0").select(F.col("_id").alias("_row"), "_vec", "label"), objects.filter("_id % 5 <> 0")
+    pool, queries = placement.placement_pool(objects, state, cores), _all_queries(objects)
+    return staging.save(placement.place(queries, pool), "placed"), queries, pool
 
 
 def _shown(placed: DataFrame) -> DataFrame:
     return placed.select(F.col("_row").alias("vec_id"), F.col("_core").alias("placed_on"), r6("_sim").alias("similarity"))
 
 
-@query(f"WITH {_SQL_V} SELECT vec_id, placed_on, round(sim, 6) AS similarity FROM ({_sql_placed('id % 5 = 0', 'id % 5 <> 0')})")
+@query(f"WITH RECURSIVE {_SQL_CLUSTERS}, {_SQL_POOL} SELECT vec_id, placed_on, round(sim, 6) AS similarity FROM ({_sql_placed('pool')})")
 def placed(spark, folder):
-    queries, pool = _split_objects(spark, folder)
-    return _shown(placement.place(queries, pool))
+    return _shown(_placed(spark, folder)[0])
 
 
-@query(f"WITH {_SQL_V} SELECT vec_id, placed_on, round(sim, 6) AS similarity FROM ({_sql_placed('true', 'true', 'q.id <> p.id')})")
+@query(f"WITH {_SQL_V} SELECT vec_id, placed_on, round(sim, 6) AS similarity FROM ({_sql_placed('v')})")
 def placed_elsewhere(spark, folder):
     objects = _objects(spark, folder)
-    queries = objects.select(F.col("_id").alias("_row"), "_vec", F.col("_id").alias("_ex"))
-    return _shown(placement.place(queries, objects, broadcast_bytes=100_000))
+    return _shown(placement.place(_all_queries(objects), objects, broadcast_bytes=100_000))
 
 
-@query(f"WITH {_SQL_V} SELECT count(*) AS n_rows, round(min(sim), 6) AS least, round(avg(sim), 6) AS mean FROM ({_sql_placed('id % 5 = 0', 'id % 5 <> 0')})")
+@query(f"WITH RECURSIVE {_SQL_CLUSTERS}, {_SQL_POOL} SELECT count(*) AS n_rows, round(min(sim), 6) AS least, round(avg(sim), 6) AS mean FROM ({_sql_placed('pool')})")
 def placement_stats(spark, folder):
-    queries, pool = _split_objects(spark, folder)
-    found = staging.save(placement.place(queries, pool), "placed")
+    found, queries, pool = _placed(spark, folder)
     placement.audit(found, queries, pool)
     return placement.placement_stats(found).select("n_rows", r6("least").alias("least"), r6("mean").alias("mean"))
 
 
 _SQL_ATTACH = f"""WITH RECURSIVE {_SQL_CLUSTERS}, core_pool AS (SELECT v.* FROM v JOIN state s ON s.node = v.id JOIN cores c ON c.node = v.id WHERE s.cluster <> 0),
-pl AS (SELECT q.id AS row_, p.id AS core FROM (SELECT * FROM v WHERE id % 10 = 0) q JOIN core_pool p ON q.id <> p.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.x, p.x) DESC, p.id) = 1),
+pl AS (SELECT q.id AS row_, p.id AS core FROM v q JOIN core_pool p ON q.id <> p.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.x, p.x) DESC, p.id) = 1),
 ties AS (SELECT pl.row_, m.node FROM pl JOIN state k ON k.node = pl.core JOIN state m ON m.cluster = k.cluster AND m.node <> pl.row_ JOIN v a ON a.id = pl.row_ JOIN v b ON b.id = m.node WHERE m.node = pl.core OR list_cosine_similarity(a.x, b.x) >= 0.3)"""
 
 
@@ -535,8 +542,7 @@ def _ties(spark, folder):
     state, edges, cores = _state(spark, folder)
     objects = _objects(spark, folder)
     pool = placement.placement_pool(objects, state, cores, "core")
-    queries = objects.filter("_id % 10 = 0").select(F.col("_id").alias("_row"), "_vec", F.col("_id").alias("_ex"))
-    found = placement.place(queries, pool)
+    found = placement.place(_all_queries(objects), pool)
     asked = subgraphs.query_frame(found, state, objects, leave_out=True)
     members = subgraphs.member_frame(objects, state.filter("_cluster <> 0"), edges)
     return staging.save(subgraphs.attached(asked, members, 0.3), "ties"), edges, state
@@ -562,15 +568,15 @@ def adjacency_degree(spark, folder):
 
 # -- prediction and detectors ---------------------------------------------------------------
 
-_SQL_PRED = f"""WITH RECURSIVE {_SQL_CLUSTERS}, pool AS (SELECT v.*, s.cluster FROM v JOIN state s ON s.node = v.id WHERE s.cluster <> 0),
-pl AS (SELECT q.id AS row_, p.cluster FROM (SELECT * FROM v WHERE id % 5 = 0) q JOIN pool p ON q.id <> p.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.x, p.x) DESC, p.id) = 1),
+_SQL_PRED = f"""WITH RECURSIVE {_SQL_CLUSTERS}, {_SQL_POOL},
+pl AS (SELECT q.id AS row_, p.cluster FROM v q JOIN pool p ON q.id <> p.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(q.x, p.x) DESC, p.id) = 1),
 pred AS (SELECT row_, a.label, sum(list_cosine_similarity(a.x, m.x) * m.label) / sum(list_cosine_similarity(a.x, m.x)) AS guess FROM pl JOIN v a ON a.id = pl.row_ JOIN pool m ON m.cluster = pl.cluster GROUP BY row_, a.label)"""
 
 
 def _predictions(spark, folder) -> DataFrame:
     state, _, cores = _state(spark, folder)
     objects = _objects(spark, folder)
-    queries = objects.filter("_id % 5 = 0").select(F.col("_id").alias("_row"), "_vec", F.col("_id").alias("_ex"), "label")
+    queries = _all_queries(objects)
     found = placement.place(queries, placement.placement_pool(objects, state, cores))
     return prediction.weighted_targets(found, state, queries, objects, "label").join(queries.select("_row", "label"), "_row")
 
@@ -585,10 +591,10 @@ def rmse_pooled_macro(spark, folder):
     return metrics.rmse(_predictions(spark, folder), "label", "prediction", ["label"]).select(*[F.round(c, 5).alias(c) for c in ("rmse_pooled", "rmse_macro", "mae")])
 
 
-@query(f"""WITH {_SQL_V}, p AS (SELECT list_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.id < b.id WHERE a.id % 3 = 0 AND b.id % 3 = 0)
+@query(f"""WITH {_SQL_V}, p AS (SELECT list_cosine_similarity(a.x, b.x) AS s FROM v a JOIN v b ON a.id < b.id)
 SELECT 0.5 AS share, round(quantile_cont(s, 0.5), 6) AS similarity FROM p UNION ALL SELECT 0.9, round(quantile_cont(s, 0.9), 6) FROM p UNION ALL SELECT 0.99, round(quantile_cont(s, 0.99), 6) FROM p""")
 def similarity_quantiles(spark, folder):
-    pairs = neighbours.cosine_pairs(_objects(spark, folder).filter("_id % 3 = 0"), -1.0)
+    pairs = neighbours.cosine_pairs(_objects(spark, folder), -1.0)
     return prediction.similarity_quantiles(pairs, [0.5, 0.9, 0.99]).select("share", r6("similarity").alias("similarity"))
 
 
@@ -654,7 +660,7 @@ def score_fill(spark, folder):
 def gae_scores(spark, folder):
     state, edges, cores = _state(spark, folder)
     objects = _objects(spark, folder)
-    queries = objects.filter("_id % 4 = 0").select(F.col("_id").alias("_row"), "_vec", F.col("_id").alias("_ex"))
+    queries = _all_queries(objects)
     found = placement.place(queries, placement.placement_pool(objects, state, cores))
     asked = staging.save(subgraphs.query_frame(found, state, objects, leave_out=True), "asked")
     members = staging.save(subgraphs.member_frame(objects, state.filter("_cluster <> 0"), edges), "members")
