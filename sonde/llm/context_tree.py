@@ -42,7 +42,7 @@ from sonde.functions.shipping import map_batches, ship
 from sonde.llm import scratch
 
 DEPTH, NODES = 5, 2_000_000
-BATCH_BYTES, PIECE_BYTES = 16_000_000, 4_000_000
+BATCH_BYTES, PIECE_BYTES = 16_000_000, 2_000_000
 FOLDS, HELD_OUT = 7, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = "\n"  # the end's word; no white-space word can be this
@@ -133,23 +133,30 @@ def log_probabilities(model: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gr
 def grams_of(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """The strings that end at each byte and end of the texts, and where each text's stop."""
     pad = b"\0" * depth
-    raw = np.frombuffer(b"".join(part for t in texts for part in (pad, t, b"\0")), np.uint8).astype(_U)
+    raw = np.frombuffer(b"".join(part for t in texts for part in (pad, t, b"\0")), np.uint8)
     size = np.array([len(t) + 1 for t in texts], np.int64)
-    grams = np.zeros(max(0, len(raw) - depth), _U)
+    n = max(0, len(raw) - depth)
+    grams = np.zeros(n, _U)
     for k in range(depth + 1):
-        grams = (grams << _U(8)) | raw[k : len(raw) - depth + k]
-    ends = np.cumsum(size)
-    return grams[np.arange(size.sum()) + np.repeat(np.arange(len(texts)) * depth, size)], ends
+        grams <<= _U(8)
+        grams |= raw[k : k + n]
+    between = np.cumsum(size + depth)[:-1, None] - depth + np.arange(depth)  # strings that end before a text
+    inside = np.ones(n, bool)
+    inside[between] = False
+    return grams[inside], np.cumsum(size)
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def _words(texts: pa.Array) -> tuple[list[bytes], pa.ListArray]:
-    """The texts in lower case as bytes, and their words."""
+def _words(texts: pa.Array) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """The texts in lower case as bytes, all their words, and where each text's words begin and end."""
     lower = [(t or "").encode().translate(_LOWER) for t in texts.to_pylist()]
-    return lower, pc.ascii_split_whitespace(pa.array(lower, pa.binary()).cast(pa.string()))
+    lists = pc.ascii_split_whitespace(pa.array(lower, pa.binary()).cast(pa.string()))
+    words = lists.flatten()
+    real = pc.not_equal(words, "")  # white space at a text's ends leaves nothing behind
+    return lower, words.filter(real), np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][lists.offsets.to_numpy()]
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -194,9 +201,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from rows(done, *merged(words.pop(done)))
             own = b.filter(pc.equal(b.column("batch"), batch))
             train = np.array([not held_out(d) for d in own.column("doc_id").to_pylist()], bool)
-            lower, lists = _words(own.column("text"))
-            flat = lists.flatten().dictionary_encode()
-            of = np.repeat(train, np.diff(lists.offsets.to_numpy()))
+            lower, every, offsets = _words(own.column("text"))
+            flat = every.dictionary_encode()
+            of = np.repeat(train, np.diff(offsets))
             n = np.bincount(flat.indices.to_numpy()[of], minlength=len(flat.dictionary))
             words.setdefault(batch, []).append((np.r_[_hashes(flat.dictionary), _hashes(pa.array([_END]))], np.r_[n, train.sum()].astype(np.int64)))
             train_texts = [t for t, yes in zip(lower, train, strict=True) if yes]
@@ -209,7 +216,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if t is not None:
                     part.append(t)
                     size += len(t)
-            if sum(len(g[0]) for g in grams) > 3_000_000:
+            if sum(len(g[0]) for g in grams) > 2_000_000:
                 grams = [merged(grams)]
                 if len(grams[0][0]) > 1_500_000:
                     yield from rows(None, *grams.pop())
@@ -280,12 +287,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: in
         unit = math.log10(n_all + n_kinds + 1)
         out = []
         for b in left.combine_chunks().to_batches():
-            lower, lists = _words(b.column("text"))
-            flat = lists.flatten().dictionary_encode()
+            lower, every, offsets = _words(b.column("text"))
+            flat = every.dictionary_encode()
             c = count[np.searchsorted(key, _hashes(flat.dictionary))] if len(flat.dictionary) else np.zeros(0, np.int64)
             end = count[np.searchsorted(key, _hashes(pa.array([_END])))][0]
             per, known = np.log10(c + 1.0)[flat.indices.to_numpy()], (c > 0)[flat.indices.to_numpy()]
-            offsets = lists.offsets.to_numpy()
             n = np.diff(offsets).astype(np.int64) + 1
             base = np.array([math.fsum(per[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]) + math.log10(end + 1.0) - n * unit
             n_known = np.diff(np.r_[0, np.cumsum(known)][offsets]) + int(end > 0)
@@ -303,10 +309,10 @@ def text_scores(model: list, texts: list[bytes], piece_bytes: int = PIECE_BYTES)
     for t in [*texts, None]:
         if part and (t is None or size + len(t) > piece_bytes):
             grams, ends = grams_of(part)
-            order = np.argsort(grams)
+            order = np.argsort(grams).astype(np.int32)
             grams = grams[order]
-            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-            pieces.append((order.astype(np.int32), first, grams[first], ends))
+            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]).astype(np.int32)
+            pieces.append((order, first, grams[first], ends))
             part, size = [], 0
         if t is not None:
             part.append(t)
