@@ -44,7 +44,7 @@ class Rule:
 
 RULES = (
     Rule("mean_word_length", "word_chars", "n_words", low=150, high=2500),
-    Rule("symbols", "n_symbols", "n_words", high=110),
+    Rule("symbols", "n_symbols", "n_words", high=30),
     Rule("stop_words", "n_stop_words", "n_words", low=1, at_least=100),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", high=50, at_least=40),
 )
