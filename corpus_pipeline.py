@@ -18,6 +18,8 @@ from sonde.functions.staging import Steps
 from sonde.llm import decontaminate, mixing, quality_rules, scratch, simhash, token_store
 
 
+#: Workers that ran other stages before have less room for words than a store of its own.
+KNOWN_WORDS = 150_000
 _STEPS = Steps()
 
 
@@ -54,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_step
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_store.tokenized(docs, token_store.word_bpe())
+    return token_store.tokenized(docs, token_store.word_bpe(), known_words=KNOWN_WORDS)
 
 
 STAGES = [

@@ -64,10 +64,11 @@ class WordEncoder:
 
     A word of plain letters, as most are, is taken apart into its letters in lower case and the
     signs behind them, which the general rules would do as well. Parts and all other words are
-    kept with their ids from one batch to the next, up to KNOWN_WORDS of them.
+    kept with their ids from one batch to the next, up to known_words of them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
+        self.known_words = known_words
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -119,7 +120,7 @@ class WordEncoder:
         """All ids of the texts, each closed by the end id, and where each text's ids end."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        if len(self.parts) + len(self.others) > KNOWN_WORDS:
+        if len(self.parts) + len(self.others) > self.known_words:
             self._forget()
         words = coded.dictionary
         place = np.ones((len(words), 2), np.int32)
@@ -139,9 +140,9 @@ class WordEncoder:
 
 
 @cache
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, known_words: int) -> WordEncoder:
     """One for each worker process, so that later tasks know the words of earlier ones."""
-    return WordEncoder(path)
+    return WordEncoder(path, known_words)
 
 
 def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -203,11 +204,11 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def _stage(path: str):
+def _stage(path: str, known_words: int = KNOWN_WORDS):
     """Rows of two kinds: a document's recipe, and a chunk that the task has not given before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = _encoder(path), set()
+        encoder, seen = _encoder(path, known_words), set()
         schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("digest", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
         for piece in (p for b in batches for p in _slices(b, 2)):
             ids, ends = encoder.encode(piece.column(2))
@@ -238,12 +239,15 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Writes the store of all rows of docs to a new folder `path`."""
+def write_store(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", known_words: int = KNOWN_WORDS) -> None:
+    """Writes the store of all rows of docs to a new folder `path`.
+
+    known_words bounds what a worker remembers: more costs memory, fewer cost time.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
-    staged = map_batches(rows, _stage(tokenizer), _STAGED)
+    staged = map_batches(rows, _stage(tokenizer, known_words), _STAGED)
     dealt = staged.repartition(parts, F.coalesce("digest", F.col("uid").cast("string").cast("binary")))
     written = map_batches(dealt, _first_of_each, _STAGED).write.option("compression", "lz4").option("parquet.enable.dictionary", "false")
     written.parquet(f"{path}/packs")
@@ -371,11 +375,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("doc_id", "start", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
 
-def tokenized(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, path: str | None = None, known_words: int = KNOWN_WORDS) -> DataFrame:
     """Writes docs to a store (by default in the shared folder) and reads its digests back."""
     spark = docs.sparkSession
     path = path or scratch.new_path(spark, "token-store")
-    write_store(docs, path, tokenizer)
+    write_store(docs, path, tokenizer, known_words=known_words)
     return read_digests(spark, path)
 
 
