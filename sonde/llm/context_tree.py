@@ -254,13 +254,14 @@ def fit(grams: DataFrame, most: int = NODES) -> list[tuple[np.ndarray, np.ndarra
         if total + n > most:
             break
         total, floor = total + n, s
-    kept = nodes.filter(step >= (floor if floor is not None else 1 << 30)).select("depth", "key", "zeros", "ones").toArrow()  # at most `most` rows
-    depth, key, zeros, ones = (kept.column(n).to_numpy() for n in ("depth", "key", "zeros", "ones"))
+    kept = nodes.filter(step >= (floor if floor is not None else 1 << 30))
     levels = []
-    for d in range(DEPTH + 1):
-        own = depth == d
-        order = np.argsort(key[own].view(_U))
-        levels.append((key[own].view(_U)[order], zeros[own][order].astype(np.int64), ones[own][order].astype(np.int64)))
+    for d in range(DEPTH + 1):  # a depth at a time; all together have at most `most` rows
+        rows = kept.filter(F.col("depth") == d).select("key", "zeros", "ones").toArrow()
+        key, zeros, ones = (rows.column(n).to_numpy() for n in ("key", "zeros", "ones"))
+        del rows
+        order = np.argsort(key.view(_U))
+        levels.append((key.view(_U)[order], zeros[order], ones[order]))
     scratch.drop(nodes)
     return weigh(levels)
 
