@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet in
 the shared folder and hands what it reads back to the next stage. All stages but the last
 return the columns that they were given. Documents that fail the quality rules go; of near
-duplicates the one with the smallest id stays; documents with a benchmark passage go; sources
+duplicates (five-word shingles, Jaccard similarity 0.8 or more) the one with the smallest id
+stays; documents with a benchmark passage go; sources
 are mixed to their targets, where a document may come twice; the rest is encoded into a
 content-addressed store, of which one row for each document is returned.
 """
@@ -15,7 +16,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from sonde.functions.staging import Steps
-from sonde.llm import decontaminate, mixing, quality_rules, scratch, simhash, token_store
+from sonde.llm import decontaminate, mixing, quality_rules, scratch, shingle_join, token_store
 
 
 #: Workers that ran other stages before have less room for words than a store of its own.
@@ -40,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_step
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return shingle_join.keep_first(docs)
 
 
 @_step
