@@ -1,11 +1,11 @@
 """License scans by a positional index of rare words.
 
-The words of licence templates (function words apart) are counted over all documents. Of
-those that a file holds, the ``LOOKUPS`` rarest are looked up: each place of such a word and
-each posting of it in a template give an alignment, and alignments that two lookups agree on
-are candidates. A candidate counts if the template's mandatory key phrase stands in full at
-its place; its score is the share of the template's words that stand at theirs, and from
-``SHARE`` on it gives the template's label. Fixed phrases give labels by themselves.
+The words of licence templates (function words apart) are counted over all documents. Of each
+template's mandatory key phrase the rarest word is looked up: each place of it in a file gives
+an alignment, which counts if the key phrase stands in full at its place. As no alignment
+counts without its key phrase, none is missed, however many licences a file holds. The score
+is the share of the template's words that stand at theirs, and from ``SHARE`` on it gives the
+template's label. Fixed phrases give labels by themselves.
 
 Edge cases: a null or empty text has no words, labels or score; ties in rarity go by word;
 repeated rows and further columns have no influence beyond the counts; an empty table gives
@@ -17,8 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonde.llm.textexpr import let, lower_ascii, plain_words, shifted, whole
+from sonde.llm.textexpr import let, lower_ascii, plain_words, whole
 
+#: Only the SQL below has this bound.
 LOOKUPS = 6
 SHARE = 0.7
 #: Phrases that give a label wherever their words stand in a row.
@@ -80,21 +81,24 @@ def places(words: Column) -> Column:
 def aligned(words: Column, order: list[str]) -> Column:
     """Verified alignments: an array of (label, share)."""
     templates = F.array(*[F.struct(F.lit(label).alias("label"), _array(text.split()).alias("words"), F.lit(_key(text, phrase)[0]).alias("key"), F.lit(_key(text, phrase)[1]).alias("length")) for label, text, phrase in TEMPLATES])
-    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p")) for t, (_, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()) if w not in COMMON])
-
-    def agreed(rare: Column) -> Column:
-        marks = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda m: F.array_contains(rare, m["w"]))
-        every = F.flatten(F.transform(marks, lambda m: F.transform(F.filter(postings, lambda p: p["w"] == m["w"]), lambda p: F.struct(p["t"].alias("t"), (m["i"] - p["p"]).alias("at")))))
-        twice = lambda s: F.array_distinct(F.filter(F.zip_with(s, shifted(s, 1), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull()))
-        return let(F.sort_array(every), twice)
+    rank = {w: k for k, w in enumerate(order)}
+    anchors = []
+    for t, (_, text, phrase) in enumerate(TEMPLATES):
+        first, length = _key(text, phrase)
+        anchors.append(min((rank[w], w, t, p) for p, w in enumerate(text.split()) if first <= p < first + length and w in rank)[1:])
+    postings = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(p).alias("p")) for w, t, p in anchors])
+    looked_up = _array(sorted({w for w, _, _ in anchors}))
+
+    def candidates() -> Column:
+        marks = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda m: F.array_contains(looked_up, m["w"]))
+        return F.flatten(F.transform(marks, lambda m: F.transform(F.filter(postings, lambda p: p["w"] == m["w"]), lambda p: F.struct(p["t"].alias("t"), (m["i"] - p["p"]).alias("at")))))
 
     def verified(a: Column, t: Column) -> Column:
         stands = F.transform(t["words"], lambda w, k: F.coalesce(F.get(words, a["at"] + k) == w, F.lit(False)))
         share = lambda s: F.size(F.filter(s, lambda x: x)) / F.size(s)
         return let(stands, lambda s: F.when(F.forall(F.slice(s, t["key"] + 1, t["length"]), lambda x: x), F.struct(t["label"].alias("label"), share(s).alias("share"))))
 
-    rare = F.slice(F.array_intersect(_array(order), words), 1, LOOKUPS)
-    return let(rare, lambda r: F.when(F.size(r) >= 2, F.filter(F.transform(agreed(r), lambda a: let(F.element_at(templates, a["t"] + 1), lambda t: verified(a, t))), lambda x: x.isNotNull())).otherwise(F.array().cast("array<struct<label:string,share:double>>")))
+    return F.filter(F.transform(candidates(), lambda a: let(F.element_at(templates, a["t"] + 1), lambda t: verified(a, t))), lambda x: x.isNotNull())
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
