@@ -5,7 +5,7 @@ by its number of words and its first ``LEADING`` words to a leaf. In a leaf, a w
 place stays in the template if forms of at least ``MIN_DOCS`` documents have it there, and
 becomes ``*`` otherwise; forms with one template share it. A template is recurring if its
 forms stand in ``MIN_DOCS`` documents or more and at least half of its words are fixed; lines
-with such a template are dropped. Support counts each document once for each form.
+with such a template are dropped. Support counts each document once, however many forms it has.
 
 Lines are counted by hashes of leaf and form, within documents first; only forms of leaves
 that hold several forms and enough documents are spelled out, once each.
@@ -42,6 +42,14 @@ def _fixed_enough(n: Column, fields: Column) -> Column:
     return 2 * fields <= n
 
 
+def _in_documents(rows: DataFrame, keys: list[str], owners: DataFrame, min_docs: int) -> DataFrame:
+    """The keys whose forms stand in min_docs distinct documents; rows has keys, leaf, form and docs."""
+    sums = rows.groupBy(keys).agg(F.sum("docs").alias("all_docs"), F.max("docs").alias("most")).filter(F.col("all_docs") >= min_docs)
+    # one form in enough documents decides; others have few owners each, which are told apart
+    unsure = rows.join(sums.filter(F.col("most") < min_docs).select(keys), keys).join(owners, ["leaf", "form"]).select(*keys, "uid").distinct()
+    return sums.filter(F.col("most") >= min_docs).select(keys).unionByName(unsure.groupBy(keys).count().filter(F.col("count") >= min_docs).select(keys))
+
+
 def recurring(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, form) of lines to drop; lines has uid and the array `tree`, texts uid and text."""
     each = lines.select("uid", F.explode(F.array_distinct(F.transform("tree", lambda t: t.dropFields("no")))).alias("t")).select("uid", "t.*")
@@ -51,16 +59,17 @@ def recurring(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS) -> D
     # where forms meet in a leaf, words that few documents have become fields
     mixed = forms.groupBy("leaf").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("all_forms")).filter((F.col("all_docs") >= min_docs) & (F.col("all_forms") > 1)).select("leaf")
     open_ = scratch.save(forms.filter(F.col("n") > LEADING).join(mixed, "leaf"), "open-forms")
+    owners = scratch.save(each.select("uid", "leaf", "form").join(open_.filter(F.col("docs") < min_docs).select("leaf", "form"), ["leaf", "form"]), "owners")
     places = open_.groupBy("uid").agg(F.collect_list(F.struct("leaf", "form", "docs")).alias("wanted"))
     named = F.transform(F.split("text", "\n"), lambda x: let(_general(x), lambda w: F.struct(F.xxhash64(w).alias("form"), w.alias("words"))))
     spelled = texts.join(places, "uid").select("wanted", F.explode(F.array_distinct(named)).alias("l")).select(F.col("l.words").alias("words"), F.explode(F.filter("wanted", lambda w: w["form"] == F.col("l.form"))).alias("w")).select("w.*", "words")
     spelled = scratch.save(spelled, "spelled")
     words = spelled.select("leaf", "form", "docs", F.posexplode("words").alias("at", "word"))
-    known = words.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs)
-    kept = words.join(known, ["leaf", "at", "word"], "left").select("leaf", "form", "docs", "at", F.when(F.col("support").isNotNull(), F.col("word")).otherwise("*").alias("word"))
+    known = _in_documents(words, ["leaf", "at", "word"], owners, min_docs).withColumn("known", F.lit(True))
+    kept = words.join(known, ["leaf", "at", "word"], "left").select("leaf", "form", "docs", "at", F.when(F.col("known"), F.col("word")).otherwise("*").alias("word"))
     templates = kept.groupBy("leaf", "form", "docs").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("w")).select("leaf", "form", "docs", F.transform("w", lambda x: x["word"]).alias("w"))
     named_templates = templates.select("leaf", "form", "docs", F.xxhash64("w").alias("template"), F.size("w").alias("n"), (F.size("w") - F.size(F.array_remove("w", "*"))).alias("fields")).filter(_fixed_enough(F.col("n"), F.col("fields")))
-    common = named_templates.groupBy("leaf", "template").agg(F.sum("docs").alias("support")).filter(F.col("support") >= min_docs).select("leaf", "template")
+    common = _in_documents(named_templates, ["leaf", "template"], owners, min_docs)
     return alone.unionByName(named_templates.join(common, ["leaf", "template"]).select("leaf", "form")).distinct()
 
 
