@@ -14,15 +14,22 @@ extensions of neighbours, which are verified byte by byte, tell for each o which
 on both sides. A group of more than ``GROUP`` classes is never gathered: the range of o is
 halved, which leaves narrower common parts to group by and wider ones to form classes by.
 
+The same search over words instead of bytes (``PASSAGE``) reports, beside the removal, which
+words stand in a run of that many words that another document holds too, however few bytes
+the run has; there the places must lie in different documents. Words are told apart by 64-bit
+hashes, surroundings by 128-bit names.
+
 Edge cases: a null or empty text keeps nothing and loses nothing; a text below LENGTH bytes
-is kept; equal rows are places of their own, so equal long texts go altogether; null ids and
-further columns have no influence; an empty table gives an empty result.
+is kept, one below PASSAGE words has no passage; equal rows are places and documents of their
+own, so equal long texts go altogether; null ids and further columns have no influence; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +40,37 @@ from pyspark.sql import types as T
 from sonde.functions.shipping import map_batches
 from sonde.llm import scratch
 
-LENGTH, GRAM = 400, 100
-SPAN = LENGTH - GRAM + 1
 GROUP = 8192
+#: A key with more rows than this and one in HOT_KEYS of all is joined by broadcast: at most HOT_KEYS such keys exist.
+HOT_KEYS = 20_000
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What strings consist of: bytes, or words (as 64-bit hashes) that must recur in another document."""
+
+    length: int
+    gram: int
+    words: bool = False
+
+    @property
+    def span(self) -> int:
+        return self.length - self.gram + 1
+
+    @property
+    def dtype(self) -> type:
+        return np.uint64 if self.words else np.uint8
+
+    @property
+    def size(self) -> int:
+        return np.dtype(self.dtype).itemsize
+
+
+BYTES = Unit(400, 100)
+#: Passages of over 50 words.
+PASSAGE = Unit(51, 8, words=True)
+LENGTH = BYTES.length
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
@@ -77,15 +112,23 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """The hashes of a text's words, from its bytes."""
+    edge = np.diff(np.r_[True, _WHITE[data], True].astype(np.int8))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    upto = prefix_hashes(data)
+    return _mixed((upto[stop] - upto[start]) * _Powers.of(len(data) + 1)[0][start] + (stop - start).astype(np.uint64))
+
+
+def anchors(data: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Places of anchors and the hashes of their grams."""
-    if len(data) < LENGTH:
+    if len(data) < unit.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     upto = prefix_hashes(data)
-    grams = _mixed((upto[GRAM:] - upto[:-GRAM]) * _Powers.of(len(data))[0][: len(upto) - GRAM])
-    least = _sliding(grams, SPAN, np.minimum)
-    pad = np.zeros(SPAN - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.r_[pad, least, pad], SPAN, np.maximum) == grams)
+    grams = _mixed((upto[unit.gram :] - upto[: -unit.gram]) * _Powers.of(len(data))[0][: len(upto) - unit.gram])
+    least = _sliding(grams, unit.span, np.minimum)
+    pad = np.zeros(unit.span - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.r_[pad, least, pad], unit.span, np.maximum) == grams)
     return at, grams[at]
 
 
@@ -169,16 +212,18 @@ def _verified(data: np.ndarray, size: np.ndarray, group: np.ndarray, order: np.n
     return np.r_[0, n], bool(good.all())
 
 
-def repeated(contexts: list[bytes], left: np.ndarray, group: np.ndarray, low: int, high: int) -> np.ndarray:
-    """For each context and each o in low..high, whether another of its group has the same string at o.
+def repeated(contexts: list[bytes], left: np.ndarray, group: np.ndarray, low: int, high: int, unit: Unit = BYTES, owner: np.ndarray | None = None) -> np.ndarray:
+    """For each context and each o in low..high, whether another owner of its group has the same string at o.
 
-    A context holds left bytes, the gram and what follows; group numbers do not fall.
+    A context holds left elements, the gram and what follows; group numbers do not fall. Without
+    owners each context is one of its own.
     """
     m = len(contexts)
-    after = np.array([len(c) for c in contexts]) - left
-    forward, backward = np.zeros((m, LENGTH), np.uint8), np.zeros((m, SPAN - 1), np.uint8)
+    owner = np.arange(m) if owner is None else owner
+    after = np.array([len(c) for c in contexts], np.int64) // unit.size - left
+    forward, backward = np.zeros((m, unit.length), unit.dtype), np.zeros((m, unit.span - 1), unit.dtype)
     for k, c in enumerate(contexts):
-        raw = np.frombuffer(c, np.uint8)
+        raw = np.frombuffer(c, unit.dtype)
         forward[k, : after[k]] = raw[left[k] :]
         backward[k, : left[k]] = raw[: left[k]][::-1]
     (right_order, right_common), (left_order, left_common) = suffix_order(forward, after, group), suffix_order(backward, left, group)
@@ -186,13 +231,17 @@ def repeated(contexts: list[bytes], left: np.ndarray, group: np.ndarray, low: in
     out = np.zeros((m, high - low + 1), bool)
     right_class, left_class = np.empty(m, np.int64), np.empty(m, np.int64)
     for o in range(low, high + 1):
-        right_class[right_order] = np.cumsum(first | (right_common < LENGTH - o))
+        right_class[right_order] = np.cumsum(first | (right_common < unit.length - o))
         left_class[left_order] = np.cumsum(first | (left_common < o))
-        there = np.flatnonzero((left >= o) & (after >= LENGTH - o))
+        there = np.flatnonzero((left >= o) & (after >= unit.length - o))
+        if not len(there):
+            continue
         key = right_class[there] * (m + 1) + left_class[there]
         by = np.argsort(key, kind="stable")
-        same = key[by][1:] == key[by][:-1]
-        out[there[by], o - low] = np.r_[same, False] | np.r_[False, same]
+        run = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        owners = owner[there[by]]
+        several = np.minimum.reduceat(owners, run) != np.maximum.reduceat(owners, run)
+        out[there[by], o - low] = np.repeat(several, np.diff(np.r_[run, len(by)]))
     return out
 
 
@@ -203,167 +252,236 @@ _KEYS = [T.StructField("low", T.IntegerType()), T.StructField("high", T.IntegerT
 _FOUND = T.StructType([T.StructField("uid", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
 
 
-def _text_at(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
+def _text_at(batch: pa.RecordBatch, column: str, k: int, unit: Unit = BYTES) -> np.ndarray:
     value = batch.column(column)[k]
-    return np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid and len(value.as_buffer()) else np.zeros(0, np.uint8)
-
-
-def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        uids, rows = b.column("uid").to_numpy(), []
-        for k in range(b.num_rows):
-            data = _text_at(b, "text", k)
-            at, grams = anchors(data)
-            if len(at):
-                left, stop = np.minimum(at, SPAN - 1), np.minimum(at + LENGTH, len(data))
-                raw = data.tobytes()
-                names = np.array([_class(raw[s:e], n) for s, e, n in zip((at - left).tolist(), stop.tolist(), left.tolist(), strict=True)], np.int64)
-                rows.append((np.full(len(at), uids[k]), at.astype(np.int32), left.astype(np.int32), (stop - at).astype(np.int32), grams.view(np.int64), names[:, 0], names[:, 1]))
-        if rows:
-            columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "at", "left", "after", "gram", "c1", "c2"])
-
-
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around the places that are wanted of a text."""
-    for b in batches:
-        for k in range(b.num_rows):
-            raw = _text_at(b, "text", k).tobytes()
-            yield _gather(b, k, raw)
-
-
-def _gather(b: pa.RecordBatch, k: int, raw: bytes) -> pa.RecordBatch:
+    data = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid and len(value.as_buffer()) else np.zeros(0, np.uint8)
+    return word_hashes(data) if unit.words else data
+
+
+def _find_anchors(unit: Unit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uids, rows = b.column("uid").to_numpy(), []
+            for k in range(b.num_rows):
+                data = _text_at(b, "text", k, unit)
+                at, grams = anchors(data, unit)
+                if len(at):
+                    left, stop = np.minimum(at, unit.span - 1), np.minimum(at + unit.length, len(data))
+                    raw, size = data.tobytes(), unit.size
+                    names = np.array([_class(raw[size * s : size * e], n) for s, e, n in zip((at - left).tolist(), stop.tolist(), left.tolist(), strict=True)], np.int64)
+                    if unit.words:  # one place of each class; `complete` finds the document's others
+                        one = np.sort(np.unique(names, axis=0, return_index=True)[1])
+                        at, grams, left, stop, names = at[one], grams[one], left[one], stop[one], names[one]
+                    rows.append((np.full(len(at), uids[k]), at.astype(np.int32), left.astype(np.int32), (stop - at).astype(np.int32), grams.view(np.int64), names[:, 0], names[:, 1]))
+            if rows:
+                columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "at", "left", "after", "gram", "c1", "c2"])
+
+    return run
+
+
+def _cut_contexts(unit: Unit):
+    """The elements around the places that are wanted of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                yield _gather(b, k, _text_at(b, "text", k, unit).tobytes(), unit.size)
+
+    return run
+
+
+def _gather(b: pa.RecordBatch, k: int, raw: bytes, size: int) -> pa.RecordBatch:
     wanted = b.column("wanted")[k].values
     at, left, after = (wanted.field(n).to_numpy() for n in ("at", "left", "after"))
-    context = [raw[a - n : a + m] for a, n, m in zip(at.tolist(), left.tolist(), after.tolist(), strict=True)]
+    context = [raw[size * (a - n) : size * (a + m)] for a, n, m in zip(at.tolist(), left.tolist(), after.tolist(), strict=True)]
     uid = np.full(len(at), b.column("uid")[k].as_py())
     return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(at), pa.array(left), wanted.field("gram"), wanted.field("alone"), wanted.field("many"), pa.array(context, pa.binary())], names=["uid", "at", "left", "gram", "alone", "many", "context"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(unit: Unit):
     """Rows sorted by (low, high, gram): sorts whole groups, some at a time."""
 
-    def solved(t: pa.Table) -> pa.RecordBatch:
-        low, high, gram = (t.column(n).to_numpy() for n in ("low", "high", "gram"))
-        uid, at, alone = (t.column(n).to_numpy() for n in ("uid", "at", "alone"))
-        left, contexts = t.column("left").to_numpy().astype(np.int64), t.column("context").to_pylist()
-        ranges = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        found = []
-        for s, e in zip(ranges, np.r_[ranges[1:], len(low)], strict=True):
-            group = np.cumsum(np.r_[0, gram[s + 1 : e] != gram[s : e - 1]])
-            hit = repeated(contexts[s:e], left[s:e], group, int(low[s]), int(high[s]))
-            hit[~alone[s:e]] = False  # the whole class is repeated anyway
-            pad = np.zeros((e - s, 1), bool)
-            edge = np.diff(np.concatenate([pad, hit, pad], axis=1).astype(np.int8), axis=1)
-            (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-            first, last = first + low[s], last - 1 + low[s]  # from offset first to last
-            found.append((uid[s:e][row], at[s:e][row] - last, at[s:e][row] - first + LENGTH))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["uid", "start", "stop"])
-
-    held: list[pa.Table] = []
-    n = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(pa.Table.from_batches([b]))
-        n += b.num_rows
-        if n < GROUP:
-            continue
-        t = pa.concat_tables(held).combine_chunks()
-        key = [t.column(c).to_numpy() for c in ("low", "high", "gram")]
-        start = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)])
-        done = 0
-        while True:  # whole groups of about GROUP rows; the last one may go on in the next batch
-            upto = start[(start > done) & (start <= max(done + GROUP, start[start > done][0] if (start > done).any() else 0))]
-            if not len(upto):
-                break
-            yield solved(t.slice(done, int(upto[-1]) - done))
-            done = int(upto[-1])
-        held, n = [t.slice(done)], t.num_rows - done
-    if n:
-        yield solved(pa.concat_tables(held).combine_chunks())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(t: pa.Table) -> pa.RecordBatch:
+            low, high, gram = (t.column(n).to_numpy() for n in ("low", "high", "gram"))
+            uid, at, alone = (t.column(n).to_numpy() for n in ("uid", "at", "alone"))
+            left, contexts = t.column("left").to_numpy().astype(np.int64), t.column("context").to_pylist()
+            ranges = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            found = []
+            for s, e in zip(ranges, np.r_[ranges[1:], len(low)], strict=True):
+                group = np.cumsum(np.r_[0, gram[s + 1 : e] != gram[s : e - 1]])
+                # a class that several documents have agrees with any of them
+                owner = np.where(alone[s:e], uid[s:e], -1) if unit.words else None
+                hit = repeated(contexts[s:e], left[s:e], group, int(low[s]), int(high[s]), unit, owner)
+                hit[~alone[s:e]] = False  # the whole class is repeated anyway
+                pad = np.zeros((e - s, 1), bool)
+                edge = np.diff(np.concatenate([pad, hit, pad], axis=1).astype(np.int8), axis=1)
+                (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+                first, last = first + low[s], last - 1 + low[s]  # from offset first to last
+                found.append((uid[s:e][row], at[s:e][row] - last, at[s:e][row] - first + unit.length))
+            cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["uid", "start", "stop"])
+
+        held: list[pa.Table] = []
+        n = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(pa.Table.from_batches([b]))
+            n += b.num_rows
+            if n < GROUP:
+                continue
+            t = pa.concat_tables(held).combine_chunks()
+            key = [t.column(c).to_numpy() for c in ("low", "high", "gram")]
+            start = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in key], axis=0)])
+            done = 0
+            while True:  # whole groups of about GROUP rows; the last one may go on in the next batch
+                upto = start[(start > done) & (start <= max(done + GROUP, start[start > done][0] if (start > done).any() else 0))]
+                if not len(upto):
+                    break
+                yield solved(t.slice(done, int(upto[-1]) - done))
+                done = int(upto[-1])
+            held, n = [t.slice(done)], t.num_rows - done
+        if n:
+            yield solved(pa.concat_tables(held).combine_chunks())
+
+    return run
+
+
+def _halve(unit: Unit):
+    """Each row for both halves of its range of offsets, with the keys that these have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = unit.size
+        for b in batches:
+            out: dict[str, list] = {n: [] for n in ("uid", "at", "left", "context", "alone", "low", "high", "gram", "c1", "c2")}
+            for uid, at, left, context, alone, low, high in zip(*(b.column(n).to_pylist() for n in ("uid", "at", "left", "context", "alone", "low", "high")), strict=True):
+                mid, right = (low + high) // 2, len(context) // size - left - unit.gram
+                for lo, hi in ((low, mid), (mid + 1, high)):
+                    if lo > hi or left < lo or right < unit.span - 1 - hi:
+                        continue
+                    narrow = _class(context[size * (left - lo) : size * (left + unit.length - hi)], lo)[0]
+                    near = min(hi, left)
+                    wide = _class(context[size * (left - near) : size * (left + unit.length - lo)], near)
+                    for name, value in zip(out, (uid, at, left, context, alone, lo, hi, narrow, *wide), strict=True):
+                        out[name].append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["uid"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["left"], pa.int32()), pa.array(out["context"], pa.binary()), pa.array(out["alone"], pa.bool_()), pa.array(out["low"], pa.int32()), pa.array(out["high"], pa.int32()), pa.array(out["gram"], pa.int64()), pa.array(out["c1"], pa.int64()), pa.array(out["c2"], pa.int64())], names=list(out))
+
+    return run
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with keys (one row each, n: how many rows have it), whatever one key's share.
+
+    Of all keys at most HOT_KEYS have more than that part of the rows; these are broadcast.
+    """
+    hot = F.col(n) > max(GROUP, total // HOT_KEYS)
+    marked = rows.join(F.broadcast(keys.filter(hot).withColumn("_hot", F.lit(True))), on, "left")  # at most HOT_KEYS rows
+    rest = marked.filter("_hot IS NULL").select(*rows.columns).join(keys.filter(~hot), on)
+    return marked.filter("_hot").drop("_hot").unionByName(rest)
 
 
-def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row for both halves of its range of offsets, with the keys that these have."""
-    for b in batches:
-        out: dict[str, list] = {n: [] for n in ("uid", "at", "left", "context", "alone", "low", "high", "gram", "c1", "c2")}
-        for uid, at, left, context, alone, low, high in zip(*(b.column(n).to_pylist() for n in ("uid", "at", "left", "context", "alone", "low", "high")), strict=True):
-            mid, right = (low + high) // 2, len(context) - left - GRAM
-            for lo, hi in ((low, mid), (mid + 1, high)):
-                if lo > hi or left < lo or right < SPAN - 1 - hi:
-                    continue
-                narrow = _class(context[left - lo : left + LENGTH - hi], lo)[0]
-                near = min(hi, left)
-                wide = _class(context[left - near : left + min(LENGTH - lo, len(context) - left)], near)
-                for name, value in zip(out, (uid, at, left, context, alone, lo, hi, narrow, *wide), strict=True):
-                    out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out["uid"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["left"], pa.int32()), pa.array(out["context"], pa.binary()), pa.array(out["alone"], pa.bool_()), pa.array(out["low"], pa.int32()), pa.array(out["high"], pa.int32()), pa.array(out["gram"], pa.int64()), pa.array(out["c1"], pa.int64()), pa.array(out["c2"], pa.int64())], names=list(out))
-
-
-def repeated_ranges(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """(uid, start, stop): byte ranges of docs (uid, text) that lie in repeated strings; they may overlap."""
+def repeated_ranges(docs: DataFrame, unit: Unit = BYTES, group: int = GROUP) -> DataFrame:
+    """(uid, start, stop): ranges of docs (uid, text), in elements of the unit, that lie in repeated strings; they may overlap."""
     schema = T.StructType([*_ITEM, T.StructField("after", T.IntegerType()), *_KEYS[2:]])
-    items = scratch.save(map_batches(docs.select("uid", "text"), _find_anchors, schema), "anchors")
-    classes = items.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "left", "after")).alias("one"))
+    items = scratch.save(map_batches(docs.select("uid", "text"), _find_anchors(unit), schema), "anchors")
+    classes = items.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), (F.count("*") == 1).alias("alone"), F.min(F.struct("uid", "at", "left", "after")).alias("one"))
     classes = scratch.save(classes, "classes")
-    copies = items.join(classes.filter("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"])
-    found = copies.filter(F.col("left") + F.col("after") >= LENGTH).select("uid", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("after")).alias("stop"))
-
-    shared = classes.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1")
-    wanted = classes.join(shared, "gram").select("one.*", "gram", (F.col("n") == 1).alias("alone"), "many")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    copies = _of_keys(items, classes.filter("NOT alone").select("gram", "c1", "c2", "n"), ["gram", "c1", "c2"], "n", total)
+    found = copies.filter(F.col("left") + F.col("after") >= unit.length).select("uid", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("after")).alias("stop"))
+
+    shared = classes.groupBy("gram").agg(F.count("*").alias("many"), *([F.min("one.uid").alias("_lo"), F.max("one.uid").alias("_hi"), F.min("alone").alias("_alone")] if unit.words else [])).filter("many > 1")
+    if unit.words:  # grams of one document alone have nothing to compare
+        shared = shared.filter("_lo < _hi OR NOT _alone").select("gram", "many")
+    wanted = _of_keys(classes.select("gram", "alone", "one"), shared, ["gram"], "many", total).select("one.*", "gram", "alone", "many")
     lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("at", "left", "after", "gram", "alone", "many")).alias("wanted"))
     cut_schema = T.StructType([*_ITEM, T.StructField("gram", T.LongType()), T.StructField("alone", T.BooleanType()), T.StructField("many", T.LongType()), T.StructField("context", T.BinaryType())])
-    cut = map_batches(docs.select("uid", "text").join(lists, "uid"), _cut_contexts, cut_schema)
-    level = scratch.save(cut.withColumn("low", F.lit(0)).withColumn("high", F.lit(SPAN - 1)), "contexts")
+    cut = map_batches(docs.select("uid", "text").join(lists, "uid"), _cut_contexts(unit), cut_schema)
+    level = scratch.save(cut.withColumn("low", F.lit(0)).withColumn("high", F.lit(unit.span - 1)), "contexts")
+    found = scratch.save(found, "found")
+    scratch.drop(items)
+    scratch.drop(classes)
     deeper = T.StructType([*_ITEM, T.StructField("context", T.BinaryType()), T.StructField("alone", T.BooleanType()), *_KEYS])
     while True:
         few = level.filter(F.col("many") <= group).select(*[f.name for f in _ITEM], "alone", "context", "low", "high", "gram")
-        found = found.unionByName(map_batches(few.repartition("low", "high", "gram").sortWithinPartitions("low", "high", "gram"), _compare, _FOUND))
+        compared = map_batches(few.repartition("low", "high", "gram").sortWithinPartitions("low", "high", "gram"), _compare(unit), _FOUND)
+        found = found.unionByName(scratch.save(compared, "found"))
         large = level.filter(F.col("many") > group)
         if large.isEmpty():
+            scratch.drop(level)
             return found
-        rows = scratch.save(map_batches(large, _halve, deeper), "halves")
+        rows = scratch.save(map_batches(large, _halve(unit), deeper), "halves")
+        scratch.drop(level)
         key = ["low", "high", "gram", "c1", "c2"]
-        sizes = scratch.save(rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one")), "classes")
-        both = rows.join(sizes.filter("n > 1").select(*key), key)
+        owns = F.when(F.col("alone"), F.col("uid"))  # null where the class already has several
+        repeats = (F.min("uid") < F.max("uid") if unit.words else F.count("*") > 1) | (F.count(owns) < F.count("*"))
+        sizes = scratch.save(rows.groupBy(*key).agg(F.count("*").alias("n"), (~repeats).alias("single"), F.min(F.struct("uid", "at")).alias("one")), "classes")
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        both = _of_keys(rows.filter("alone"), sizes.filter("NOT single").select(*key, "n"), key, "n", total)
         start = F.col("at") - F.least("high", "left")
-        stop = F.col("at") + F.least(LENGTH - F.col("low"), F.length("context") - F.col("left"))
-        found = found.unionByName(both.filter("alone").select("uid", start.alias("start"), stop.alias("stop")).filter(F.col("stop") - F.col("start") >= LENGTH))
+        stop = F.col("at") + F.least(unit.length - F.col("low"), F.length("context") / unit.size - F.col("left")).cast("int")
+        ranges = both.select("uid", start.alias("start"), stop.alias("stop")).filter(F.col("stop") - F.col("start") >= unit.length)
+        found = found.unionByName(scratch.save(ranges, "found"))
         groups = sizes.groupBy("low", "high", "gram").agg(F.count("*").alias("many")).filter("many > 1")
-        ones = sizes.join(groups, ["low", "high", "gram"]).select("low", "high", "gram", F.col("one.uid").alias("uid"), F.col("one.at").alias("at"), (F.col("n") == 1).alias("single"), "many")
-        level = scratch.save(rows.drop("c1", "c2").join(ones, ["low", "high", "gram", "uid", "at"]).withColumn("alone", F.col("alone") & F.col("single")).drop("single"), "contexts")
+        ones = _of_keys(sizes.select(*key, "one", "single"), groups, ["low", "high", "gram"], "many", total).select("low", "high", "gram", F.col("one.uid").alias("uid"), F.col("one.at").alias("at"), "single", "many")
+        level = scratch.save(rows.drop("c1", "c2", "alone").join(ones, ["low", "high", "gram", "uid", "at"]).withColumnRenamed("single", "alone"), "contexts")
+        scratch.drop(rows)
+        scratch.drop(sizes)
+
+
+def _merged(ranges) -> list[list[int]]:
+    """The ranges in order, joined where they meet."""
+    out: list[list[int]] = []
+    for start, stop in sorted((r["start"], r["stop"]) for r in ranges or ()):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([start, stop])
+    return out
 
 
-def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, n_spans) for each row; kept has the remaining bytes."""
+def complete(data: np.ndarray, ranges: list[list[int]], unit: Unit) -> list[list[int]]:
+    """The ranges and all others of the same strings in data, joined where they meet."""
+    if not ranges:
+        return ranges
+    upto = prefix_hashes(data)
+    strings = _mixed((upto[unit.length :] - upto[: -unit.length]) * _Powers.of(len(data))[0][: len(upto) - unit.length])
+    known = np.concatenate([strings[s : e - unit.length + 1] for s, e in ranges])
+    at = np.flatnonzero(np.isin(strings, known))
+    first = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + unit.length])
+    return [[int(at[s]), int(at[e - 1]) + unit.length] for s, e in zip(first, np.r_[first[1:], len(at)], strict=True)]
+
+
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP, unit: Unit = BYTES, passage: Unit = PASSAGE) -> DataFrame:
+    """(doc_id, kept, n_bytes, n_removed, n_spans, n_passages, passage_words) for each row.
+
+    kept has the bytes that remain; the last two count maximal runs of words that lie in passages
+    of other documents too, and the words in them.
+    """
     rows = scratch.by_uid(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    lists = repeated_ranges(rows, group).groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
+    both = repeated_ranges(rows, unit, group).withColumn("words", F.lit(False)).unionByName(repeated_ranges(rows, passage, group).withColumn("words", F.lit(True)))
+    part = lambda of: F.collect_set(F.when(of, F.struct("start", "stop")))
+    lists = both.groupBy("uid").agg(part(~F.col("words")).alias("ranges"), part(F.col("words")).alias("passages"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("kept", T.BinaryType()), *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans", "n_passages", "passage_words"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, sums = [], []
             for k in range(b.num_rows):
                 raw = _text_at(b, "text", k).tobytes()
-                ranges = sorted((r["start"], r["stop"]) for r in b.column("ranges")[k].as_py() or ())
-                parts, spans, upto = [], 0, 0
-                last = None
-                for start, stop in ranges:
-                    if last is None or start > last:
-                        parts.append(raw[upto:start])
-                        spans += 1
-                    last = upto = max(upto, stop)
-                parts.append(raw[upto:])
-                kept.append(b"".join(parts))
-                sums.append((len(raw), len(raw) - len(kept[-1]), spans))
-            n = np.array(sums, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(n[:, c]) for c in range(3))], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return map_batches(rows.join(lists, "uid", "left").select("doc_id", "text", "ranges"), run, schema)
+                gone, held = (_merged(b.column(c)[k].as_py()) for c in ("ranges", "passages"))
+                held = complete(_text_at(b, "text", k, passage), held, passage) if held else held
+                ends = [0, *(x for r in gone for x in r), len(raw)]
+                kept.append(b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True)))
+                sums.append((len(raw), len(raw) - len(kept[-1]), len(gone), len(held), sum(e - s for s, e in held)))
+            n = np.array(sums, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(n[:, c]) for c in range(5))], names=schema.names)
+
+    return map_batches(rows.join(lists, "uid", "left").select("doc_id", "text", "ranges", "passages"), run, schema)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cleaned(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_words")

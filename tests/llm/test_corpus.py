@@ -257,10 +257,39 @@ def test_repeated_passages(spark, group):
     rows += [(50, "a" * 1500, "s"), (51, "ab" * 500, "s"), (52, long, "s"), (53, long, "s"), (54, long[:500] + "!" + long[500:], "s"), (55, long[1:400], "s"), (56, long[:400], "s"), (57, "é" * 450, "s")]
     rows += [(60 + k, "<" + long[a : a + rng.randint(390, 900)] + ">", "s") for k, a in enumerate(rng.sample(range(500), 12))] + texts()
     got = suffix_dedup.cleaned(frame(spark, rows), group=group).collect()
-    assert plain((r[0], bytes(r[1]), *r[2:]) for r in got) == plain(without_repeats(rows))
+    assert plain((r[0], bytes(r[1]), *r[2:5]) for r in got) == plain(without_repeats(rows))
     assert suffix_dedup.cleaned(frame(spark, [])).count() == 0
 
 
+def shared_words(rows, n=suffix_dedup.PASSAGE.length):
+    """(runs, words) of each row that lie in n words of another row."""
+    data = [WHITE.findall(t or "") for _, t, _ in rows]
+    strings = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in data]
+    seen = Counter(x for s in strings for x in s)
+    out = []
+    for (d, *_), w in zip(rows, data, strict=True):
+        hit = [0] * len(w)
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                hit[i : i + n] = [1] * n
+        out.append((d, sum(1 for i, h in enumerate(hit) if h and not (i and hit[i - 1])), sum(hit)))
+    return out
+
+
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 6])
+def test_passages_of_other_documents(spark, group):
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "bdfgk" for b in ["a", "e", "i", "o", "ui"]]
+    noise = lambda n: rng.choices(words, k=n)
+    shared, long = noise(51), noise(160)
+    rows = [(k, " ".join(noise(rng.randint(0, 90)) + shared + noise(rng.randint(0, 90))), "s") for k in range(25)]
+    rows += [(40, " ".join(noise(9) + shared + noise(9) + shared + noise(9)), "s"), (41, " ".join(shared[:50] + noise(5)), "s"), (42, " ".join(["a"] * 300), "s"), (43, "\n".join([" ".join(noise(60))] * 3), "s")]
+    rows += [(60 + k, " ".join(noise(5) + long[a : a + rng.randint(45, 160)] + noise(5)), "s") for k, a in enumerate(rng.sample(range(100), 30))] + texts()
+    rows += [(100 + k, "x " * (51 + 40 * k), "s") for k in range(2)]
+    got = suffix_dedup.cleaned(frame(spark, rows), group=group).collect()
+    assert plain((r["doc_id"], r["n_passages"], r["passage_words"]) for r in got) == plain(shared_words(rows))
+
+
 @given(st.lists(st.binary(max_size=12), min_size=1, max_size=25), st.integers(1, 3))
 @settings(max_examples=40, deadline=None)
 def test_suffix_order(rows, groups):
