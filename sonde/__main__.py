@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from sonde.functions.contracts import Params, declared_categorical
 from sonde.operators.splitting import CUTS
 from sonde.plans import detectors, preparation
-from sonde.plans.search import axes, plan, search
+from sonde.plans.search import Grid, search
 
 
 def session(name: str, workers: str) -> SparkSession:
@@ -100,14 +100,14 @@ def main(argv: list[str] | None = None) -> None:
             extra = {**flat, **({"min_similarity": a.min_similarity} if a.min_similarity is not None else {})}
             report = detectors.train_detector(spark, a.split_dir, a.reports_dir, stage=a.stage, selected=chosen, network=network, **common, **extra)
         else:
-            grid = axes(values.get("grid") or {}, a.dataset)
+            grid = Grid(values.get("grid") or {}, a.dataset)
 
             def trial(config: dict) -> dict:
                 given = {k: v for k, v in config.items() if k in detectors.DEFAULTS}
                 got = detectors.train_detector(spark, a.split_dir, a.reports_dir, network=detectors.network_settings({**values, **config}), **common, **{**flat, **given})
                 return {**got["metrics"]["validation"], "epoch": got["epoch"], "edges": got["graph"]["edges"]}
 
-            report = search(trial, plan(grid, a.runs, a.seed), Path(a.reports_dir) / f"search_{a.dataset}.json")
+            report = search(trial, grid.drawn(a.runs, a.seed), Path(a.reports_dir) / f"search_{a.dataset}.json")
         print(json.dumps(report.get("best") or report.get("metrics") or report.get("test"), default=str))
 
 

@@ -1,9 +1,11 @@
 """Functions of one global order that no single task has to see whole.
 
-The order's first column (a number or a time) is cut into buckets of about ``ROWS`` rows by
-value; the same row always falls into the same bucket. Windows run within buckets, and a
-summary with one row for each bucket carries totals or last values from one to the next. The
-summary has rows / ROWS rows, so it is small at any size, and it is broadcast under that bound.
+Rows are dealt into ranges of the whole order, cut where a sample says that about ``ROWS``
+rows lie between cuts, whatever values the rows have. The ranges are written, so that they
+cannot move; windows run within ranges, and a summary with one row for each range carries
+totals or last values from one to the next. The summary has rows / ROWS rows, so it is small
+at any size, and it is broadcast under that bound. Rows that agree in the whole order are
+the only ones that cannot be told apart; they share a range.
 """
 
 from __future__ import annotations
@@ -13,37 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from sonde.functions import staging
+
 ROWS = 1_000_000
 _B = "__bucket"
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_timestamp(F.col(column)).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(column)).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(column).cast("double")
-    raise TypeError(f"{column} is neither a number nor a time")
-
-
-def bucketed(df: DataFrame, first: str, descending: bool = False, rows: int = ROWS) -> DataFrame:
-    """df with a bucket number that ascends with the order; nulls come first."""
-    value = _number(df, first)
-    low, high, n = df.agg(F.min(value), F.max(value), F.count("*")).first()
-    buckets = max(1, -(-n // rows))
-    if low is None or high == low or buckets == 1:
-        at = F.lit(0)
-    else:
-        share = (value - low) / (high - low)
-        at = F.least(F.floor((1 - share if descending else share) * buckets), F.lit(buckets - 1))
-    return df.withColumn(_B, F.when(F.col(first).isNull(), F.lit(-1)).otherwise(at).cast("long"))
+def bucketed(df: DataFrame, order: list[str], descending: bool = False, rows: int = ROWS) -> DataFrame:
+    """df with the number of a range, which ascends with the order; nulls come first."""
+    if isinstance(df.schema[order[0]].dataType, T.StringType):
+        raise TypeError(f"{order[0]} is neither a number nor a time")
+    n = df.count()
+    if n <= rows:
+        return df.withColumn(_B, F.lit(0))
+    dealt = df.repartitionByRange(-(-n // rows), *_keys(order, descending)).withColumn(_B, F.spark_partition_id())
+    return staging.save(dealt, "ranges")
 
 
 def _keys(order: list, descending: bool) -> list[Column]:
     first, *rest = order
-    return [F.col(first).desc() if descending else F.col(first).asc_nulls_first(), *[F.col(c) for c in rest]]
+    return [F.col(first).desc_nulls_first() if descending else F.col(first).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in rest]]
 
 
 def _with_summary(buckets: DataFrame, summary: DataFrame, groups: list[str]) -> DataFrame:
@@ -57,7 +48,7 @@ def _with_summary(buckets: DataFrame, summary: DataFrame, groups: list[str]) ->
 def running_sum(df: DataFrame, order: list[str], value: Column | str, name: str, descending: bool = False, inclusive: bool = True, rows: int = ROWS) -> DataFrame:
     """df with the sum of `value` over all rows up to each one, or before it."""
     value = F.col(value) if isinstance(value, str) else value
-    buckets = bucketed(df.withColumn("__v", value), order[0], descending, rows)
+    buckets = bucketed(df.withColumn("__v", value), order, descending, rows)
     totals = buckets.groupBy(F.col(_B).alias("__b")).agg(F.sum("__v").alias("__t"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     summary = totals.select("__b", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__off"))
@@ -75,7 +66,7 @@ def number_rows(df: DataFrame, order: list[str], name: str = "_id", start: int =
 def previous(df: DataFrame, order: list[str], columns: dict[str, str], groups: list[str] | None = None, rows: int = ROWS) -> DataFrame:
     """df with {name: column} of the row before each one (within `groups`, if given)."""
     groups = groups or []
-    buckets = bucketed(df, order[0], rows=rows)
+    buckets = bucketed(df, order, rows=rows)
     keys = _keys(order, False)
     held = F.struct(*[F.col(c).alias(f"v{k}") for k, c in enumerate(columns.values())])
     last = buckets.groupBy(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col(_B).alias("__b")).agg(F.max_by(held, F.struct(*order)).alias("__last"))
@@ -87,9 +78,19 @@ def previous(df: DataFrame, order: list[str], columns: dict[str, str], groups: l
     return out.drop("__prev", "__n", "__lag", _B)
 
 
+def greatest_before(df: DataFrame, order: list[str], value: Column, name: str, rows: int = ROWS) -> DataFrame:
+    """df with the greatest `value` of all rows before each one; null for the first."""
+    buckets = bucketed(df.withColumn("__v", value), order, rows=rows)
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    summary = buckets.groupBy(F.col(_B).alias("__b")).agg(F.max("__v").alias("__t")).select("__b", F.max("__t").over(before).alias("__most"))
+    within = Window.partitionBy(_B).orderBy(*_keys(order, False)).rowsBetween(Window.unboundedPreceding, -1)
+    here = _with_summary(buckets, summary, []).withColumn("__here", F.max("__v").over(within))
+    return here.withColumn(name, F.greatest("__here", "__most")).drop("__v", "__here", "__most", _B)
+
+
 def last_known(df: DataFrame, order: list[str], value: str, name: str, groups: list[str], rows: int = ROWS) -> DataFrame:
     """df with the latest value of `value` that is not null, up to each row, within groups."""
-    buckets = bucketed(df, order[0], rows=rows)
+    buckets = bucketed(df, order, rows=rows)
     held = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
     last = buckets.groupBy(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col(_B).alias("__b")).agg(held.alias("__last"))
     before = Window.partitionBy(*[f"__g_{g}" for g in groups]).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sonde.functions.contracts import TIME, feature_columns
-from sonde.functions.ordered import number_rows, previous, running_sum
+from sonde.functions.ordered import greatest_before, number_rows, previous, running_sum
 
 
 def between(df: DataFrame, start=None, end=None, time: str = TIME) -> DataFrame:
@@ -49,8 +48,8 @@ def only_values(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
 
 def factorise(df: DataFrame, column: str, order: list[str], name: str) -> DataFrame:
     """df with codes 0, 1, 2 ... in order of first appearance; null is -1."""
-    first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
-    coded = first.select(F.col(column).alias("_value"), (F.row_number().over(Window.orderBy("_first")) - 1).cast("int").alias(name))  # a row for each level
+    first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.min(F.struct(*order)).alias("_first"))
+    coded = number_rows(first.select("_value", "_first.*"), order, name).select("_value", F.col(name).cast("int").alias(name))
     return df.join(coded, F.col(column) == F.col("_value"), "left").drop("_value").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
@@ -104,5 +103,5 @@ def identical_schemas(frames: dict[str, DataFrame]) -> None:
 
 def overlapping_spans(spans: DataFrame, name: str, start: str, end: str) -> DataFrame:
     """Pairs of names whose spans overlap, by comparing each start with the largest end before it."""
-    by = Window.orderBy(start, name).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
-    return spans.withColumn("_upto", F.max(F.struct(end, name)).over(by)).filter(F.col("_upto")[end] >= F.col(start)).select(F.col("_upto")[name].alias("earlier"), F.col(name).alias("later"))
+    seen = greatest_before(spans, [start, name], F.struct(end, name), "_upto")
+    return seen.filter(F.col("_upto")[end] >= F.col(start)).select(F.col("_upto")[name].alias("earlier"), F.col(name).alias("later"))

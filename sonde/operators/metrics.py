@@ -73,9 +73,9 @@ def best_threshold(df: DataFrame, y: str = "y", score: str = "score") -> float:
 
 
 def segment_recall(df: DataFrame, order: list[str], threshold: float, y: str = "y", score: str = "score") -> DataFrame:
-    """One row: runs of positives, those with a flagged row, and their share."""
+    """One row: runs of positives, those with a flagged row, and their share (null without runs)."""
     runs = marked_runs(df, order, F.col(y) == 1).groupBy("run").agg(F.max((F.col(score) >= threshold).cast("int")).alias("hit"))
-    return runs.agg(F.count("*").alias("segments"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("segments_caught")).withColumn("segment_recall", F.when(F.col("segments") == 0, 0.0).otherwise(F.col("segments_caught") / F.col("segments")))
+    return runs.agg(F.count("*").alias("segments"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("segments_caught")).withColumn("segment_recall", F.when(F.col("segments") > 0, F.col("segments_caught") / F.col("segments")))
 
 
 def metrics(df: DataFrame, order: list[str], threshold: float | None = None, y: str = "y", score: str = "score") -> dict[str, float]:

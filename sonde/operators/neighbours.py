@@ -10,11 +10,13 @@ instead of `band` times, and no join is without an equality.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sonde.functions import staging
+from sonde.functions.shipping import ship
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -102,15 +104,33 @@ class NeighbourhoodGraph:
         return self.similarities(self.candidates(signed), signed)
 
 
-def cosine_pairs(objects: DataFrame, min_similarity: float, blocks: int = 8) -> DataFrame:
-    """(_src, _dst, similarity) of all pairs that reach a threshold, block by block.
+def cosine_pairs(objects: DataFrame, min_similarity: float, block: int = 2048) -> DataFrame:
+    """(_src, _dst, similarity) of all pairs that reach a threshold: the exact graph.
 
-    For checks and small sets: every block of rows meets every other one once.
+    Every block of about `block` rows meets every other one once, as a matrix product. Work
+    grows with the square of the rows; `NeighbourhoodGraph` is the way for large sets.
     """
-    keyed = objects.select("_id", "_vec", norm(F.col("_vec")).alias("_n"), F.pmod("_id", F.lit(blocks)).alias("_b"))
-    pairs = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = keyed.select("_id", "_vec", "_n", F.col("_b").alias("_x"), pairs.alias("_y"))
-    right = keyed.select(F.col("_id").alias("_id2"), F.col("_vec").alias("_vec2"), F.col("_n").alias("_n2"), F.col("_b").alias("_y"), pairs.alias("_x"))
-    both = left.join(right, ["_x", "_y"]).filter("_id < _id2")
-    value = cosine(F.col("_vec"), F.col("_vec2"), F.col("_n"), F.col("_n2"))
-    return both.select(F.col("_id").alias("_src"), F.col("_id2").alias("_dst"), value.alias("similarity")).filter(F.col("similarity") >= min_similarity)
+    ship(objects.sparkSession)
+    blocks = max(1, -(-objects.count() // block))
+    keyed = objects.select("_id", "_vec", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"))
+    left = keyed.withColumn("_x", F.col("_b")).withColumn("_y", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))))
+    right = keyed.withColumn("_y", F.col("_b")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_b"))))
+
+    def side(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = t.column("_vec").combine_chunks()
+        x = x.flatten().to_numpy().astype(np.float64).reshape(len(x), -1)
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return t.column("_id").to_numpy(), np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"_src": pa.array([], pa.int64()), "_dst": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        (i, u), (j, v) = side(a), side(b)
+        near = u @ v.T
+        hit = near >= min_similarity
+        if a.column("_b")[0] == b.column("_b")[0]:
+            hit &= i[:, None] < j  # a block with itself
+        x, y = np.nonzero(hit)
+        return pa.table({"_src": np.minimum(i[x], j[y]), "_dst": np.maximum(i[x], j[y]), "similarity": near[x, y]})
+
+    return left.groupBy("_x", "_y").cogroup(right.groupBy("_x", "_y")).applyInArrow(run, "_src long, _dst long, similarity double")

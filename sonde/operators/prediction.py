@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.operators.neighbours import cosine, norm
+from sonde.operators.neighbours import dot, unit
 
 
 def weighted_targets(placed: DataFrame, state: DataFrame, queries: DataFrame, objects: DataFrame, target: str) -> DataFrame:
-    """(_row, prediction): over all members of the cluster a row was placed in, weighted by cosine."""
+    """(_row, prediction): over all members of the cluster a row was placed in, weighted by cosine.
+
+    With unit vectors the weighted sum over members is a product with the members' sum, so a
+    cluster needs two sums of vectors and a row two products; no row meets a member.
+    """
     of = placed.join(state.select(F.col("_node").alias("_core"), "_cluster"), "_core").select("_row", "_cluster")
-    left = of.join(queries.select("_row", F.col("_vec").alias("_q"), norm(F.col("_vec")).alias("_qn")), "_row")
-    members = state.filter("_cluster <> 0").join(objects.select(F.col("_id").alias("_node"), "_vec", norm(F.col("_vec")).alias("_n"), F.col(target).cast("double").alias("_t")), "_node")
-    weight = cosine(F.col("_q"), F.col("_vec"), F.col("_qn"), F.col("_n"))
-    both = left.join(members, "_cluster").withColumn("_w", weight)
-    return both.groupBy("_row").agg((F.sum(F.col("_w") * F.col("_t")) / F.sum("_w")).alias("prediction"))
+    members = state.filter("_cluster <> 0").join(objects.select(F.col("_id").alias("_node"), unit(F.col("_vec")).alias("_u"), F.col(target).cast("double").alias("_t")), "_node")
+    terms = members.select("_cluster", "_t", F.posexplode("_u").alias("_k", "_x"))
+    sums = terms.groupBy("_cluster", "_k").agg(F.sum("_x").alias("_s"), F.sum(F.col("_x") * F.col("_t")).alias("_st"))
+    wide = sums.groupBy("_cluster").agg(F.sort_array(F.collect_list(F.struct("_k", "_s", "_st"))).alias("_a"))  # as many as a vector has
+    wide = wide.select("_cluster", F.transform("_a", lambda a: a["_s"]).alias("_s"), F.transform("_a", lambda a: a["_st"]).alias("_st"))
+    rows = of.join(queries.select("_row", unit(F.col("_vec")).alias("_q")), "_row").join(wide, "_cluster")
+    return rows.select("_row", (dot(F.col("_q"), F.col("_st")) / dot(F.col("_q"), F.col("_s"))).alias("prediction"))
 
 
 def rolling_days(df: DataFrame, day: str, window_size: int) -> DataFrame:

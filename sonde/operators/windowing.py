@@ -6,7 +6,6 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sonde.functions.contracts import TIME, window_names
 from sonde.functions.ordered import previous
@@ -92,7 +91,7 @@ def packed(windows: DataFrame, names: list[str], keep: list[str], vector: str =
 
 def rate_of_change(df: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
     """For each group: readings, changes from one to the next, and their share."""
-    before = F.lag(value).over(Window.partitionBy(group).orderBy(*order))
-    seen = df.select(group, F.col(value).alias("_v"), before.alias("_before"))
+    rows = df.select(group, *order, F.col(value).alias("_v"))
+    seen = previous(rows, order, {"_before": "_v"}, [group])
     changed = F.sum((F.col("_before").isNotNull() & (F.col("_v") != F.col("_before"))).cast("long"))
     return seen.groupBy(group).agg(F.count("*").alias("n_rows"), changed.alias("changes"), (changed / F.count("*")).alias("rate"))

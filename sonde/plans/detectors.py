@@ -120,12 +120,12 @@ def train_detector(spark: SparkSession, split_dir: str, reports_dir: str, catego
     pool = placement.placement_pool(train, state, cores, cfg["attach_to"])
     own = staging.save(placement.place(_queries(train, True), pool), "placed")
     placement.audit(own, _queries(train, True), pool, seed=cfg["seed"])
-    members = staging.save(subgraphs.member_frame(train, state.filter("_cluster <> 0"), edges), "members")
+    held = staging.save(subgraphs.content(train, state, edges), "clusters")
     threshold = of_dataset(cfg["min_similarity"], name)
 
     def graphs(placed: DataFrame, objects: DataFrame, leave_out: bool) -> DataFrame:
-        asked = staging.save(subgraphs.query_frame(placed, state, objects, "y", leave_out), "asked")
-        return staging.save(autoencoder.packed_subgraphs(asked, members, threshold, network), "graphs")
+        asked = subgraphs.questions(placed, state, objects, "y", leave_out)
+        return staging.save(subgraphs.packed(asked, held, threshold, network.max_members, network.max_hops), "graphs")
 
     examples = graphs(own, train, True)
     if cfg["train_examples"]:
@@ -156,7 +156,9 @@ def train_detector(spark: SparkSession, split_dir: str, reports_dir: str, catego
         "placement": placement.placement_stats(own).first().asDict(), "best": best, "epoch": epoch, "threshold": results["validation"]["threshold"],
         "metrics": results, "seconds": round(time.time() - began, 1),
     }
-    writers.write_json(report, Path(reports_dir) / stage / f"detector_{name}_{stage}.json")
+    folder = Path(reports_dir) / stage
+    writers.write_json(report, folder / f"detector_{name}_{stage}.json")
+    autoencoder.save_model(model, folder / f"detector_{name}_{stage}.weights.json", {"features": ready["features"], "threshold": report["threshold"], "min_similarity": threshold})
     return report
 
 

@@ -110,6 +110,8 @@ class EsaPreprocessor(Preprocessor):
         spans = readers.read_annotations(self.spark, f"{self.source}/labels.csv", f"{self.source}/anomaly_types.csv").withColumnRenamed("Channel", "channel")
         rank = F.when(F.col("Category") == "Anomaly", 1).otherwise(F.when(F.col("Category") == "Rare Event", 2).otherwise(0))
         order = F.when(rank == 1, 2).otherwise(F.when(rank == 2, 1).otherwise(0))  # an anomaly covers a rare event
+        ends = times.agg(F.min(TIME).cast("string"), F.max(TIME).cast("string")).first()
+        spans = alignment.touching(spans, wanted, "channel", "StartTime", "EndTime", *[F.lit(t).cast("timestamp_ntz") for t in ends])
         labels = alignment.interval_labels(instants, spans, "channel", "ts", "StartTime", "EndTime", order, 3600)
         kind = F.when(F.col("label") == 2, 1).when(F.col("label") == 1, 2).otherwise(0).cast("byte")
         named = labels.select("channel", "ts", kind.alias("label"))

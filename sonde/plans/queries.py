@@ -399,7 +399,7 @@ def label_counts(spark, folder):
 
 # -- the graph ------------------------------------------------------------------------------
 
-_GRAPH = neighbours.NeighbourhoodGraph(bits=16, permutations=4, band=10, min_similarity=0.3, seed=42)
+_GRAPH = neighbours.NeighbourhoodGraph(min_similarity=0.3)  # 30 orderings, band 30
 _WIDTH, _MIN_PTS = 64, 5
 
 
@@ -543,9 +543,8 @@ def _ties(spark, folder):
     objects = _objects(spark, folder)
     pool = placement.placement_pool(objects, state, cores, "core")
     found = placement.place(_all_queries(objects), pool)
-    asked = subgraphs.query_frame(found, state, objects, leave_out=True)
-    members = subgraphs.member_frame(objects, state.filter("_cluster <> 0"), edges)
-    return staging.save(subgraphs.attached(asked, members, 0.3), "ties"), edges, state
+    asked = subgraphs.questions(found, state, objects, leave_out=True)
+    return staging.save(subgraphs.attached(asked, subgraphs.content(objects, state, edges), 0.3), "ties"), edges, state
 
 
 @query(f"{_SQL_ATTACH} SELECT row_ AS vec_id, node FROM ties")
@@ -662,10 +661,9 @@ def gae_scores(spark, folder):
     objects = _objects(spark, folder)
     queries = _all_queries(objects)
     found = placement.place(queries, placement.placement_pool(objects, state, cores))
-    asked = staging.save(subgraphs.query_frame(found, state, objects, leave_out=True), "asked")
-    members = staging.save(subgraphs.member_frame(objects, state.filter("_cluster <> 0"), edges), "members")
+    asked = subgraphs.questions(found, state, objects, leave_out=True)
     settings = autoencoder.Settings(hidden=16, latent=8, batch_size=64, replicas=2)
-    graphs = staging.save(autoencoder.packed_subgraphs(asked, members, 0.3, settings), "graphs")
+    graphs = staging.save(subgraphs.packed(asked, subgraphs.content(objects, state, edges), 0.3, max_hops=settings.max_hops), "graphs")
     model, _, _ = autoencoder.fit(graphs, _WIDTH, settings, fixed_epochs=2)
     return autoencoder.scores(graphs, model).select(F.col("_row").alias("vec_id"), F.col("score"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import random
 from collections.abc import Callable
 from math import prod
@@ -10,30 +9,33 @@ from pathlib import Path
 
 from sonde.sources.writers import write_json
 
-#: Settings whose grid lists values for each dataset.
-BY_DATASET = ("min_similarity",)
-
-
-def axes(grid: dict, dataset: str) -> dict[str, list]:
-    """A list of values for each setting, with the entries of one dataset chosen."""
-    out = {}
-    for name, values in grid.items():
-        if name in BY_DATASET and isinstance(values, dict):
-            values = values.get(dataset)
-        if values is not None:
-            out[name] = list(values) if isinstance(values, (list, tuple)) else [values]
-    return out
-
-
-def plan(grid: dict[str, list], runs: int, seed: int = 42) -> list[dict]:
-    """All combinations if there are at most `runs`, else as many distinct random ones."""
-    if prod(map(len, grid.values())) <= runs:
-        return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
-    rng, chosen = random.Random(seed), {}
-    while len(chosen) < runs:
-        draw = {name: values[rng.randrange(len(values))] for name, values in grid.items()}
-        chosen.setdefault(tuple(map(str, draw.values())), draw)
-    return list(chosen.values())
+#: Settings whose values may be given for each dataset.
+BY_DATASET = {"min_similarity"}
+
+
+class Grid:
+    """Combinations of settings, each with a rank: the place it has when the last setting turns fastest."""
+
+    def __init__(self, given: dict, dataset: str | None = None):
+        chosen = {k: v.get(dataset) if k in BY_DATASET and isinstance(v, dict) else v for k, v in given.items()}
+        self.values = {k: [*v] if isinstance(v, (list, tuple)) else [v] for k, v in chosen.items() if v is not None}
+
+    def __len__(self) -> int:
+        return prod(len(v) for v in self.values.values())
+
+    def __getitem__(self, rank: int) -> dict:
+        if not 0 <= rank < len(self):
+            raise IndexError(rank)
+        out = {}
+        for name in reversed(self.values):
+            rank, at = divmod(rank, len(self.values[name]))
+            out[name] = self.values[name][at]
+        return dict(reversed(out.items()))
+
+    def drawn(self, runs: int, seed: int = 42) -> list[dict]:
+        """All combinations if there are at most `runs`, else so many distinct ranks drawn at random."""
+        ranks = range(len(self)) if len(self) <= runs else random.Random(seed).sample(range(len(self)), runs)
+        return [self[r] for r in ranks]
 
 
 def search(trial: Callable[[dict], dict], configs: list[dict], report: str | Path) -> dict:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
+import os
+import tempfile
+import uuid
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -12,30 +16,46 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False) -> bool:
-    """Writes df to path; a table that is there stays unless overwrite is set. Tells whether it wrote."""
+    """Writes df to path; a table that is there stays unless overwrite is set. Tells whether it wrote.
+
+    Rows go to a folder beside path first, which takes its place once it is whole: a job that
+    fails leaves the old table as it was, and df may read the table that it replaces.
+    """
     jvm = df.sparkSession.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    files = where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    there = files.exists(where)
     if there and not overwrite:
         return False
-    df.write.mode("overwrite").parquet(path)
+    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{tag}-{uuid.uuid4().hex}") for tag in ("new", "old"))
+    try:
+        df.write.parquet(new.toString())
+        if there and not files.rename(where, old):
+            raise OSError(f"{path} cannot be moved")
+        if not files.rename(new, where):
+            if there:
+                files.rename(old, where)
+            raise OSError(f"{path} cannot be written")
+    finally:
+        files.delete(new, True)
+    files.delete(old, True)
     return True
 
 
-def assign_by_count(counts: Mapping[int, int], replicas: int) -> dict[int, int]:
-    """Clusters to replicas: the largest first, each to the replica with least so far."""
-    load = [0] * replicas
+def balanced(counts: Mapping[int, int], replicas: int) -> dict[int, int]:
+    """Clusters to replicas: from the largest on, each goes where least has gone (the first of equals)."""
+    heap = [(0, k) for k in range(replicas)]
     out = {}
-    for c, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        k = min(range(replicas), key=lambda r: (load[r], r))
-        out[c], load[k] = k, load[k] + n
+    for n, c in sorted((-n, c) for c, n in counts.items()):
+        load, out[c] = heap[0]
+        heapq.heapreplace(heap, (load - n, out[c]))
     return out
 
 
 def replica_table(queries: DataFrame, replicas: int) -> DataFrame:
     """(_cluster, _replica) with loads by the number of queries; a row for each cluster."""
     counts = {r["_cluster"]: r["count"] for r in queries.groupBy("_cluster").count().collect()}
-    rows = list(assign_by_count(counts, replicas).items())
+    rows = list(balanced(counts, replicas).items())
     return queries.sparkSession.createDataFrame(rows, "_cluster long, _replica int")
 
 
@@ -67,9 +87,16 @@ def _plain(value):
     return value
 
 
-def write_json(values: Mapping, path: str | Path) -> Path:
-    """A report; numbers that are not finite become null."""
+def replace_file(path: str | Path, text: str) -> Path:
+    """A small file on the driver, which appears whole or not at all."""
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(_plain(values), indent=2, default=str) + "\n")
+    with tempfile.NamedTemporaryFile("w", dir=path.parent, prefix=f".{path.name}.", delete=False) as f:
+        f.write(text)
+    os.replace(f.name, path)
     return path
+
+
+def write_json(values: Mapping, path: str | Path) -> Path:
+    """A report; numbers that are not finite become null."""
+    return replace_file(path, json.dumps(_plain(values), indent=2, default=str) + "\n")

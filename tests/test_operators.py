@@ -122,7 +122,7 @@ def test_hold_and_intervals(spark):
 
 
 def test_replicas():
-    assert writers.assign_by_count({10: 5, 11: 4, 12: 3, 13: 3}, 2) == {10: 0, 11: 1, 12: 1, 13: 0}
+    assert writers.balanced({10: 5, 11: 4, 12: 3, 13: 3}, 2) == {10: 0, 11: 1, 12: 1, 13: 0}
 
 
 def test_factorise(spark):
@@ -186,16 +186,85 @@ def test_runs_and_split(spark):
         splitting.cut(df, "1980-01-01 00:00:00", "1990-01-01 00:00:00")
 
 
-def test_subgraph_of_a_path():
+def path():
     x = np.eye(4)[:, :3] + 0.1
-    builder = subgraphs.SubgraphBuilder(x, np.ones(4, int), np.array([[0, 1], [1, 2], [2, 3]]), min_similarity=0.999, max_hops=2)
-    g = builder.build(x[0], 0, 1.0)
-    assert len(g.features) == 3  # itself, its core and one further hop
-    assert g.degrees.tolist() == [3.0, 3.0, 2.0]
-    whole = subgraphs.SubgraphBuilder(x, np.ones(4, int), np.array([[0, 1], [1, 2], [2, 3]]), min_similarity=0.999).build(x[0], 0, 1.0, drop=3)
-    assert len(whole.features) == 4 and whole.degrees is None
-    few = subgraphs.SubgraphBuilder(x, np.ones(4, int), np.array([[0, 1]]), max_members=2).build(x[0], 0, 1.0)
-    assert len(few.features) == 3
+    return x, subgraphs.Cluster(np.arange(4), x, np.array([[0, 1], [1, 2], [2, 3]]))
+
+
+def test_surroundings_on_a_path():
+    x, cluster = path()
+    nodes, vectors, a, b, w, entries = cluster.surroundings(x[:1], np.array([0]), np.array([-1]), 0.999, max_hops=2)
+    assert nodes.tolist() == [3] and entries.tolist() == [len(a)]  # itself, its core and one further hop
+    assert (vectors == x[[0, 1, 0]]).all()
+    got = np.zeros((3, 3))
+    got[a, b] = w
+    degree = np.array([3.0, 3.0, 2.0])  # the second has a link that was cut
+    want = np.array([[1, 1, 1], [1, 1, 0], [1, 0, 1]]) / np.sqrt(np.outer(degree, degree))
+    assert got == pytest.approx(want)
+    nodes, *_ = cluster.surroundings(x[[0, 0]], np.array([0, 1]), np.array([3, 0]), 0.999)
+    assert nodes.tolist() == [4, 4]
+    nodes, *_ = cluster.surroundings(x[:1], np.array([0]), np.array([-1]), 0.999, max_members=2)
+    assert nodes.tolist() == [3]
+
+
+def plain_surrounding(x, links, q, core, drop, least, most, hops):
+    """One question at a time, with sets: kept members and the normalised entries."""
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-12)
+    near = {n: float(unit(v) @ unit(q)) for n, v in enumerate(x) if n != drop}
+    members = set(near) if most is None else set(sorted(near, key=lambda n: (-near[n], n))[:most])
+    tied = {n for n in members if near[n] >= least or n == core}
+    around = {n: {v for e in links for u, v in (e, e[::-1]) if u == n and v in members} for n in members}
+    kept = set(tied) if hops is not None else members
+    for _ in range((hops or 1) - 1):
+        kept = kept | {v for n in kept for v in around[n]}
+    degree = {n: 1 + len(around[n]) + (n in tied) for n in members} | {"q": 1 + len(tied)}
+    order = [*sorted(kept), "q"]
+    joined = lambda u, v: u == v or (v in tied if u == "q" else u in tied if v == "q" else v in around[u])
+    return sorted(kept), np.array([[(degree[u] * degree[v]) ** -0.5 if joined(u, v) else 0.0 for v in order] for u in order])
+
+
+@pytest.mark.parametrize(("most", "hops", "block"), [(None, 2, 4096), (None, None, 7), (9, 3, 5), (4, 2, 4096)])
+def test_packed_surroundings(spark, most, hops, block):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(30, 3))
+    cluster_of = np.array([5] * 14 + [6] * 10 + [0] * 6)
+    links = [(u, v) for u in range(30) for v in range(u) if rng.random() < 0.2]
+    objects = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "_id long, _vec array<double>, y int")
+    state = spark.createDataFrame([(i, int(c)) for i, c in enumerate(cluster_of)], "_node long, _cluster long")
+    edges = spark.createDataFrame([(v, u) for u, v in links], "_src long, _dst long")
+    cores = [int(rng.choice([k for k in range(24) if k != i])) for i in range(30)]
+    placed = spark.createDataFrame([(i, c, 0.5) for i, c in enumerate(cores)], "_row long, _core long, _sim double")
+    asked = subgraphs.questions(placed, state, objects, "y", leave_out=True)
+    held = subgraphs.content(objects, state, edges)
+    got = {r["_row"]: r for r in subgraphs.packed(asked, held, 0.3, most, hops, block).collect()}
+    ties = {(r["_row"], r["_node"]) for r in subgraphs.attached(asked, held, 0.3, block).collect()}
+    assert len(got) == 30
+    for i, c in enumerate(cores):
+        own = np.flatnonzero(cluster_of == cluster_of[c])
+        local = {int(n): k for k, n in enumerate(own)}
+        inner = [(local[u], local[v]) for u, v in links if u in local and v in local]
+        kept, matrix = plain_surrounding(x[own], inner, x[i], local[c], local.get(i, -1), 0.3, most, hops)
+        r = got[i]
+        assert (r["nodes"], r["_y"]) == (len(kept) + 1, i % 2)
+        assert np.reshape(r["x"], (-1, 3)) == pytest.approx(np.vstack([x[own][kept], x[i]]))
+        full = np.zeros(matrix.shape)
+        full[r["a"], r["b"]] = r["w"]
+        assert full == pytest.approx(matrix)
+        near = {int(n) for n in own if n != i and (n == c or x[n] @ x[i] / np.linalg.norm(x[n]) / np.linalg.norm(x[i]) >= 0.3)}
+        assert {n for q, n in ties if q == i} == near
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_exact_pairs(spark, block):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 3))
+    x[5] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, _vec array<double>")
+    got = {(r["_src"], r["_dst"]): r["similarity"] for r in neighbours.cosine_pairs(df, 0.2, block).collect()}
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {(i, j): float(u[i] @ u[j]) for i in range(40) for j in range(i + 1, 40) if u[i] @ u[j] >= 0.2}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert neighbours.cosine_pairs(df.limit(0), 0.2).count() == 0
 
 
 def test_weighted_prediction(spark):
@@ -233,6 +302,17 @@ def test_shards(spark, tmp_path):
     assert not writers.write_table(queries, str(tmp_path / "s"))
 
 
+def test_a_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert writers.write_table(spark.range(5), path)
+    assert writers.write_table(spark.read.parquet(path).filter("id > 1"), path, overwrite=True)  # from the table itself
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    with pytest.raises(Exception, match="stop"):
+        writers.write_table(spark.range(3).select(F.raise_error(F.lit("stop")).alias("id")), path, overwrite=True)
+    assert spark.read.parquet(path).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_json_has_no_infinities(tmp_path):
     assert "null" in writers.write_json({"a": float("inf"), "b": [1]}, tmp_path / "r.json").read_text()
     assert isinstance(pd.read_json(tmp_path / "r.json", typ="series")["b"], list)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonde.functions.contracts import Params, declared_categorical, feature_columns, label_column, same_features
 from sonde.plans import autoencoder, detectors, preparation
-from sonde.plans.search import axes, plan, search
+from sonde.plans.search import Grid, search
 from sonde.streaming import windows as streams
 
 
@@ -62,18 +62,19 @@ def test_settings_precedence():
 
 
 def test_search(tmp_path):
-    grid = axes({"bits": [16, 24], "min_similarity": {"swat": [0.9, 0.95], "hai": [0.7]}, "lr": 0.1}, "swat")
-    assert grid == {"bits": [16, 24], "min_similarity": [0.9, 0.95], "lr": [0.1]}
-    assert len(plan(grid, 10)) == 4
-    some = plan({"a": list(range(10)), "b": list(range(10))}, 7, seed=1)
-    assert len({tuple(x.values()) for x in some}) == 7 and some == plan({"a": list(range(10)), "b": list(range(10))}, 7, seed=1)
+    grid = Grid({"bits": [16, 24], "min_similarity": {"swat": [0.9, 0.95], "hai": [0.7]}, "lr": 0.1}, "swat")
+    assert grid.values == {"bits": [16, 24], "min_similarity": [0.9, 0.95], "lr": [0.1]}
+    assert grid.drawn(10) == [{"bits": b, "min_similarity": m, "lr": 0.1} for b in (16, 24) for m in (0.9, 0.95)]
+    wide = Grid({"a": list(range(10)), "b": list(range(10))})
+    some = wide.drawn(7, seed=1)
+    assert len({tuple(x.values()) for x in some}) == 7 and some == wide.drawn(7, seed=1)
 
     def trial(config):
         if config["bits"] == 16:
             raise RuntimeError("no")
         return {"average_precision": config["min_similarity"]}
 
-    out = search(trial, plan(grid, 10), tmp_path / "s.json")
+    out = search(trial, grid.drawn(10), tmp_path / "s.json")
     assert out["best"]["config"]["min_similarity"] == 0.95
     assert sum("error" in r for r in json.loads((tmp_path / "s.json").read_text())["runs"]) == 2
 
