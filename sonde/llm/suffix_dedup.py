@@ -16,8 +16,9 @@ halved, which leaves narrower common parts to group by and wider ones to form cl
 
 The same search over words instead of bytes (``PASSAGE``) reports, beside the removal, which
 words stand in a run of that many words that another document holds too, however few bytes
-the run has; there the places must lie in different documents. Words are told apart by 64-bit
-hashes, surroundings by 128-bit names.
+the run has; there the places must lie in different documents. A word is a hash of 32 bits there, so
+that 51 words in a row are told apart by 1632 bits. Only grams that two documents have are looked at again.
+Surroundings are told apart by 128-bit names.
 
 Edge cases: a null or empty text keeps nothing and loses nothing; a text below LENGTH bytes
 is kept, one below PASSAGE words has no passage; equal rows are places and documents of their
@@ -28,6 +29,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,7 +49,7 @@ HOT_KEYS = 20_000
 
 @dataclass(frozen=True)
 class Unit:
-    """What strings consist of: bytes, or words (as 64-bit hashes) that must recur in another document."""
+    """What strings consist of: bytes, or words (as hashes) that must recur in another document."""
 
     length: int
     gram: int
@@ -59,7 +61,7 @@ class Unit:
 
     @property
     def dtype(self) -> type:
-        return np.uint64 if self.words else np.uint8
+        return np.uint32 if self.words else np.uint8
 
     @property
     def size(self) -> int:
@@ -70,6 +72,7 @@ BYTES = Unit(400, 100)
 #: Passages of over 50 words.
 PASSAGE = Unit(51, 8, words=True)
 LENGTH = BYTES.length
+PIECE_BYTES = 1 << 20
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -112,30 +115,38 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """The hashes of a text's words, from its bytes."""
-    edge = np.diff(np.r_[True, _WHITE[data], True].astype(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def word_hashes(data: np.ndarray, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of texts that stand one after another, and where each text's words end."""
+    ends = np.array([len(data)]) if ends is None else ends
+    inside = np.r_[False, ~_WHITE[data], False]
+    cut = np.zeros(len(data) + 1, bool)  # a text begins or ends here
+    cut[ends] = cut[0] = True
+    start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut) & np.r_[np.ones(len(data), bool), False])
+    stop = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
     upto = prefix_hashes(data)
-    return _mixed((upto[stop] - upto[start]) * _Powers.of(len(data) + 1)[0][start] + (stop - start).astype(np.uint64))
+    hashes = _mixed((upto[stop] - upto[start]) * _Powers.of(len(data) + 1)[0][start] + (stop - start).astype(np.uint64))
+    return hashes.astype(np.uint32), np.searchsorted(start, ends)
 
 
-def anchors(data: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Places of anchors and the hashes of their grams."""
+def anchors(data: np.ndarray, unit: Unit = BYTES, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of anchors and the hashes of their grams, in texts that stand one after another."""
     if len(data) < unit.length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     upto = prefix_hashes(data)
     grams = _mixed((upto[unit.gram :] - upto[: -unit.gram]) * _Powers.of(len(data))[0][: len(upto) - unit.gram])
     least = _sliding(grams, unit.span, np.minimum)
+    if ends is not None:  # strings that reach into the next text say nothing
+        for k in range(1, unit.length):
+            at = ends - k
+            least[at[(at >= 0) & (at < len(least))]] = 0
     pad = np.zeros(unit.span - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.r_[pad, least, pad], unit.span, np.maximum) == grams)
     return at, grams[at]
 
 
-def _class(context: bytes, left: int) -> tuple[int, int]:
-    """A name for the surroundings: two equal names mean equal bytes at equal places."""
-    d = hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(8, "little")).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _class(context: bytes, left: int) -> bytes:
+    """A name for the surroundings: two equal names mean equal elements at equal places."""
+    return hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(8, "little")).digest()
 
 
 # -- the suffix sort ------------------------------------------------------------------------
@@ -199,12 +210,17 @@ def suffix_order(data: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple
     return order, common
 
 
+def _agreeing(data: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading elements rows a and b have in common, element by element."""
+    differs = np.concatenate([data[a] != data[b], np.ones((len(a), 1), bool)], axis=1)
+    return np.minimum(differs.argmax(axis=1), np.minimum(size[a], size[b]))
+
+
 def _verified(data: np.ndarray, size: np.ndarray, group: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, bool]:
     """Common bytes of neighbours in the order, and whether it is one."""
     a, b = order[:-1], order[1:]
     most = np.minimum(size[a], size[b])
-    differs = np.concatenate([data[a] != data[b], np.ones((len(a), 1), bool)], axis=1)
-    n = np.minimum(differs.argmax(axis=1), most)
+    n = _agreeing(data, size, a, b)
     n[group[a] != group[b]] = 0
     last = data.shape[1] - 1
     right = np.where(n == most, size[a] <= size[b], data[a, np.minimum(n, last)] < data[b, np.minimum(n, last)])
@@ -226,6 +242,22 @@ def repeated(contexts: list[bytes], left: np.ndarray, group: np.ndarray, low: in
         raw = np.frombuffer(c, unit.dtype)
         forward[k, : after[k]] = raw[left[k] :]
         backward[k, : left[k]] = raw[: left[k]][::-1]
+    out = np.zeros((m, high - low + 1), bool)
+    begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if m else np.zeros(0, np.int64)
+    size = np.diff(np.r_[begin, m])
+    two = begin[size == 2]
+    if len(two):  # what two have in common on either side bounds the offsets
+        right, back = (_agreeing(x, n, two, two + 1)[:, None] for x, n in ((forward, after), (backward, left)))
+        o = np.arange(low, high + 1)
+        out[two] = out[two + 1] = (o >= unit.length - right) & (o <= back) & (owner[two] != owner[two + 1])[:, None]
+    rest = np.flatnonzero(np.repeat(size > 2, size))
+    if len(rest):
+        out[rest] = _in_large_groups(forward[rest], after[rest], backward[rest], left[rest], group[rest], low, high, unit, owner[rest])
+    return out
+
+
+def _in_large_groups(forward: np.ndarray, after: np.ndarray, backward: np.ndarray, left: np.ndarray, group: np.ndarray, low: int, high: int, unit: Unit, owner: np.ndarray) -> np.ndarray:
+    m = len(left)
     (right_order, right_common), (left_order, left_common) = suffix_order(forward, after, group), suffix_order(backward, left, group)
     first = np.r_[True, group[right_order][1:] != group[right_order][:-1]] if m else np.zeros(0, bool)
     out = np.zeros((m, high - low + 1), bool)
@@ -255,31 +287,72 @@ _FOUND = T.StructType([T.StructField("uid", T.LongType()), T.StructField("start"
 def _text_at(batch: pa.RecordBatch, column: str, k: int, unit: Unit = BYTES) -> np.ndarray:
     value = batch.column(column)[k]
     data = np.frombuffer(value.as_buffer(), np.uint8) if value.is_valid and len(value.as_buffer()) else np.zeros(0, np.uint8)
-    return word_hashes(data) if unit.words else data
+    return word_hashes(data)[0] if unit.words else data
+
+
+def _elements(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows a to b of the batch at a time, about PIECE_BYTES of text: their elements, and where each row's end."""
+    text = batch.column("text")
+    text = text.fill_null("") if text.null_count else text
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    data = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(text):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, side="right")) - 1)
+        piece, ends = data[offsets[a] : offsets[b]], offsets[a + 1 : b + 1] - offsets[a]
+        yield a, b, *(word_hashes(piece, ends) if unit.words else (piece, ends))
+        a = b
 
 
 def _find_anchors(unit: Unit):
+    """Anchors with a name for their surroundings; in words, only those of the grams that a row lists."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uids, rows = b.column("uid").to_numpy(), []
-            for k in range(b.num_rows):
-                data = _text_at(b, "text", k, unit)
-                at, grams = anchors(data, unit)
-                if len(at):
-                    left, stop = np.minimum(at, unit.span - 1), np.minimum(at + unit.length, len(data))
-                    raw, size = data.tobytes(), unit.size
-                    names = np.array([_class(raw[size * s : size * e], n) for s, e, n in zip((at - left).tolist(), stop.tolist(), left.tolist(), strict=True)], np.int64)
-                    if unit.words:  # one place of each class; `complete` finds the document's others
-                        one = np.sort(np.unique(names, axis=0, return_index=True)[1])
-                        at, grams, left, stop, names = at[one], grams[one], left[one], stop[one], names[one]
-                    rows.append((np.full(len(at), uids[k]), at.astype(np.int32), left.astype(np.int32), (stop - at).astype(np.int32), grams.view(np.int64), names[:, 0], names[:, 1]))
-            if rows:
-                columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+            uids = b.column("uid").to_numpy()
+            for first, stop, data, ends in _elements(b, unit):
+                at, grams = anchors(data, unit, ends)
+                row = np.searchsorted(ends, at, side="right")
+                if unit.words:
+                    listed = b.column("grams").slice(first, stop - first)
+                    of = np.repeat(np.arange(stop - first), np.diff(listed.offsets.to_numpy()))
+                    asked = _mixed(listed.flatten().to_numpy().view(np.uint64) + of.astype(np.uint64))
+                    some = np.isin(_mixed(grams + row.astype(np.uint64)), asked)
+                    at, grams, row = at[some], grams[some], row[some]
+                if not len(at):
+                    continue
+                begin = np.r_[0, ends[:-1]][row]
+                left, upto = np.minimum(at - begin, unit.span - 1), np.minimum(at + unit.length, ends[row])
+                raw, size = data.tobytes(), unit.size
+                names = np.frombuffer(b"".join([_class(raw[size * s : size * e], n) for s, e, n in zip((at - left).tolist(), upto.tolist(), left.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+                if unit.words:  # one place of each class of a row; `complete` finds the others
+                    by = np.lexsort((at, names[:, 1], names[:, 0], row))
+                    new = np.r_[True, (row[by][1:] != row[by][:-1]) | (names[by][1:] != names[by][:-1]).any(axis=1)]
+                    one = np.sort(by[new])
+                    at, grams, row, begin, left, upto, names = (x[one] for x in (at, grams, row, begin, left, upto, names))
+                columns = [uids[first + row], (at - begin).astype(np.int32), left.astype(np.int32), (upto - at).astype(np.int32), grams.view(np.int64), names[:, 0], names[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["uid", "at", "left", "after", "gram", "c1", "c2"])
 
     return run
 
 
+def _find_grams(unit: Unit):
+    """(uid, gram): the grams of a text's anchors, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uids = b.column("uid").to_numpy()
+            for first, _, data, ends in _elements(b, unit):
+                at, grams = anchors(data, unit, ends)
+                row = np.searchsorted(ends, at, side="right")
+                by = np.lexsort((grams, row))
+                row, grams = row[by], grams[by]
+                new = np.r_[True, (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])] if len(row) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(uids[first + row[new]]), pa.array(grams[new].view(np.int64))], names=["uid", "gram"])
+
+    return run
+
+
 def _cut_contexts(unit: Unit):
     """The elements around the places that are wanted of a text."""
 
@@ -361,9 +434,9 @@ def _halve(unit: Unit):
                 for lo, hi in ((low, mid), (mid + 1, high)):
                     if lo > hi or left < lo or right < unit.span - 1 - hi:
                         continue
-                    narrow = _class(context[size * (left - lo) : size * (left + unit.length - hi)], lo)[0]
+                    narrow, _ = struct.unpack("<qq", _class(context[size * (left - lo) : size * (left + unit.length - hi)], lo))
                     near = min(hi, left)
-                    wide = _class(context[size * (left - near) : size * (left + unit.length - lo)], near)
+                    wide = struct.unpack("<qq", _class(context[size * (left - near) : size * (left + unit.length - lo)], near))
                     for name, value in zip(out, (uid, at, left, context, alone, lo, hi, narrow, *wide), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out["uid"], pa.int64()), pa.array(out["at"], pa.int32()), pa.array(out["left"], pa.int32()), pa.array(out["context"], pa.binary()), pa.array(out["alone"], pa.bool_()), pa.array(out["low"], pa.int32()), pa.array(out["high"], pa.int32()), pa.array(out["gram"], pa.int64()), pa.array(out["c1"], pa.int64()), pa.array(out["c2"], pa.int64())], names=list(out))
@@ -377,15 +450,29 @@ def _of_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int
     Of all keys at most HOT_KEYS have more than that part of the rows; these are broadcast.
     """
     hot = F.col(n) > max(GROUP, total // HOT_KEYS)
+    if keys.filter(hot).isEmpty():
+        return rows.join(keys, on)
     marked = rows.join(F.broadcast(keys.filter(hot).withColumn("_hot", F.lit(True))), on, "left")  # at most HOT_KEYS rows
     rest = marked.filter("_hot IS NULL").select(*rows.columns).join(keys.filter(~hot), on)
     return marked.filter("_hot").drop("_hot").unionByName(rest)
 
 
+def _with_shared_grams(docs: DataFrame, unit: Unit) -> DataFrame:
+    """Those docs that share a gram with another one, with the array `grams`."""
+    slim = scratch.save(map_batches(docs.select("uid", "text"), _find_grams(unit), "uid long, gram long"), "grams")
+    shared = scratch.save(slim.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lists = scratch.save(_of_keys(slim, shared, ["gram"], "n", total).groupBy("uid").agg(F.collect_list("gram").alias("grams")), "lists")
+    scratch.drop(slim)
+    scratch.drop(shared)
+    return docs.join(lists, "uid")
+
+
 def repeated_ranges(docs: DataFrame, unit: Unit = BYTES, group: int = GROUP) -> DataFrame:
     """(uid, start, stop): ranges of docs (uid, text), in elements of the unit, that lie in repeated strings; they may overlap."""
     schema = T.StructType([*_ITEM, T.StructField("after", T.IntegerType()), *_KEYS[2:]])
-    items = scratch.save(map_batches(docs.select("uid", "text"), _find_anchors(unit), schema), "anchors")
+    looked_at = _with_shared_grams(docs.select("uid", "text"), unit).select("uid", "text", "grams") if unit.words else docs.select("uid", "text")
+    items = scratch.save(map_batches(looked_at, _find_anchors(unit), schema), "anchors")
     classes = items.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), (F.count("*") == 1).alias("alone"), F.min(F.struct("uid", "at", "left", "after")).alias("one"))
     classes = scratch.save(classes, "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
