@@ -7,13 +7,15 @@ Krichevsky-Trofimov estimate and half the product of its children's, so all dept
 and what a byte costs follows from the mixture along its path.
 
 Counts come from byte strings of DEPTH + 1 bytes of all training documents, summed with
-partial sums. Of the nodes, those seen least are joined to their parents' rest until at most
-``NODES`` are left; the threshold is found from the distribution of all counts, and the bound
-is what makes the model small enough to be collected and broadcast. A context that was never
-seen is scored as the longest part of it that was.
-
-Beside it stands a unigram base with one added to each count. Its counts have no bound and are
-not broadcast: documents lie in batches of about ``BATCH_BYTES``, each batch asks once for
+partial sums; all of them are kept, so the model grows with the corpus. It is never gathered.
+Strings are dealt into ``GROUPS`` by the last ``TOP`` bytes of their context, so that a group
+holds whole subtrees. Groups first weigh theirs and report only sums for the nodes above, of
+which there are less than 256 to the power of TOP; with these everywhere, they then answer
+which probability each string of each batch of documents has. A context that was never seen
+is scored as the longest part of it that was.
+
+Beside it stands a unigram base with one added to each count. Its counts are not gathered
+either: documents lie in batches of about ``BATCH_BYTES``, each batch asks once for
 each of its words, and gets back their counts. Words are told apart by 64-bit hashes.
 
 Edge cases: a null or empty text is the end alone; a null id counts as an empty id when
@@ -33,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -41,8 +43,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sonde.functions.shipping import map_batches, ship
 from sonde.llm import scratch
 
-DEPTH, NODES = 5, 2_000_000
-BATCH_BYTES, PIECE_BYTES = 16_000_000, 2_000_000
+DEPTH, TOP, GROUPS = 5, 2, 128
+#: Strings that a group is asked for in one task, on the average; more are dealt to several tasks.
+ASKED = 1_000_000
+BATCH_BYTES, PIECE_BYTES = 32_000_000, 2_000_000
 FOLDS, HELD_OUT = 7, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END = "\n"  # the end's word; no white-space word can be this
@@ -68,33 +72,65 @@ def log_estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
-def weigh(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """From (key, zeros, ones) of each depth, keys ascending, to (key, estimate of a one, weight of stopping there).
+Level = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def levels(strings: np.ndarray, n: np.ndarray, top: int = 0, depth: int = DEPTH) -> list[Level]:
+    """(key, zeros, ones) of the nodes of each depth from `top` on, keys ascending, from counted strings.
 
     A key is the context's bytes, the latest last, then a byte that starts with a one and the
     bits decided so far.
     """
-    out: list = [None] * len(levels)
-    below = None
-    for d in range(len(levels) - 1, -1, -1):
-        key, a, b = levels[d]
-        here = log_estimate(a, b)
-        if below is None:
-            whole, stop = here, np.ones(len(key))
-        else:
-            child, ca, cb, cw = below
-            parent = ((child >> _U(8) & _U((1 << 8 * d) - 1)) << _U(8)) | (child & _U(255))
-            at = np.searchsorted(key, parent)
-            split, za, zb = (np.bincount(at, x, len(key)) for x in (cw, ca, cb))
-            split = split + log_estimate(a - za, b - zb)  # all contexts without a node of their own
-            whole = np.logaddexp(here, split) - math.log(2)
-            stop = np.exp(here - math.log(2) - whole)
-        out[d] = (key, (b + 0.5) / (a + b + 1), stop)
-        below = (key, a, b, whole)
-    return out
-
-
-def log_probabilities(model: list[tuple[np.ndarray, np.ndarray, np.ndarray]], grams: np.ndarray) -> np.ndarray:
+    out = []
+    for d in range(depth, top - 1, -1):
+        if d < depth:
+            strings, n = summed(strings & _U((1 << 8 * (d + 1)) - 1), n)
+        context, byte = (strings >> _U(8)) << _U(8), strings & _U(255)
+        key = np.concatenate([context | (byte >> _U(8 - j)) | _U(1 << j) for j in range(8)])
+        one = np.concatenate([(byte >> _U(7 - j)) & _U(1) for j in range(8)]).astype(np.int64) * np.tile(n, 8)
+        node, zeros, ones = summed(key, np.tile(n, 8) - one, one)
+        out.append((node, zeros, ones))
+    return out[::-1]
+
+
+def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, ascending, with sums of its values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values)
+
+
+def _parent(key: np.ndarray, depth: int) -> np.ndarray:
+    """The key without the earliest byte of a context of depth + 1 bytes."""
+    return ((key >> _U(8) & _U((1 << 8 * depth) - 1)) << _U(8)) | (key & _U(255))
+
+
+def _node(zeros: np.ndarray, ones: np.ndarray, split: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The logarithm of the weighted probability, the estimate of a one and the weight of stopping there."""
+    here = log_estimate(zeros, ones)
+    whole = here if split is None else np.logaddexp(here, split) - math.log(2)
+    stop = np.ones(len(here)) if split is None else np.exp(here - math.log(2) - whole)
+    return whole, (ones + 0.5) / (zeros + ones + 1), stop
+
+
+def weigh(nodes: list[Level], top: int = 0, split: np.ndarray | None = None) -> tuple[list[Level], np.ndarray]:
+    """(key, estimate of a one, weight of stopping there) of each depth, and the first depth's logarithms.
+
+    split has what the children of the last depth give together, if it has any.
+    """
+    out: list = [None] * len(nodes)
+    whole = np.zeros(0)
+    for k in range(len(nodes) - 1, -1, -1):
+        key, zeros, ones = nodes[k]
+        if k < len(nodes) - 1:
+            split = np.bincount(np.searchsorted(key, _parent(nodes[k + 1][0], top + k)), whole, len(key))
+        whole, guess, stop = _node(zeros, ones, split)
+        out[k] = (key, guess, stop)
+    return out, whole
+
+
+def log_probabilities(model: list[Level], grams: np.ndarray) -> np.ndarray:
     """log10 of the probability of each string's last byte after those before it.
 
     grams ascend. Strings that end alike share what shallow contexts say, so each depth is
@@ -176,155 +212,191 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = int(upto[-1])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(batch, key, n): each word of a batch with its number in training documents; strings of bytes under no batch."""
-    names = ["batch", "key", "n"]
-    words: dict[int, list] = {}
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        key, n = (np.concatenate(p) for p in zip(*parts, strict=True))
-        order = np.argsort(key)
-        key, n = key[order], n[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        return key[first], np.add.reduceat(n, first) if len(first) else n
-
-    def rows(batch: int | None, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(0, len(key), 100_000):
-            part = key[k : k + 100_000]
-            number = pa.nulls(len(part), pa.int64()) if batch is None else pa.array(np.full(len(part), batch))
-            yield pa.RecordBatch.from_arrays([number, pa.array(part.view(np.int64)), pa.array(n[k : k + 100_000])], names=names)
+def _group(strings: np.ndarray) -> np.ndarray:
+    """The group of each string, by the last TOP bytes of its context."""
+    last = strings >> _U(8) & _U((1 << 8 * TOP) - 1)
+    return ((last * _U(40503) & _U(0xFFFF)) >> _U(9)).astype(np.int64)
+
+
+def _group_column(key: str) -> Column:
+    last = F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
+    return F.shiftright((last * 40503).bitwiseAND(F.lit(0xFFFF)), 9)
+
+
+def _packed(strings: np.ndarray) -> bytes:
+    """Ascending strings as differences, byte planes apart, which compress well."""
+    return np.diff(strings, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+
+
+_COUNTED = pa.schema([("batch", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("g", pa.int64()), ("asked", pa.binary())])
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of three kinds: (batch, key, n) for each word of a batch with its number in training
+    documents, (key, n) for strings of training documents, and (batch, g, asked) with all strings."""
+
+    def rows(**columns) -> Iterator[pa.RecordBatch]:
+        n = len(next(iter(columns.values())))
+        for k in range(0, n, 100_000):
+            size = min(100_000, n - k)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name][k : k + size], f.type) if f.name in columns else pa.nulls(size, f.type) for f in _COUNTED], schema=_COUNTED)
+
+    def finished(batch: int, words: list, strings: list) -> Iterator[pa.RecordBatch]:
+        key, n = summed(*(np.concatenate(p) for p in zip(*words, strict=True)))
+        yield from rows(batch=np.full(len(key), batch), key=key, n=n)
+        if strings:
+            key, n = summed(*(np.concatenate(p) for p in zip(*strings, strict=True)))
+            yield from rows(key=key[n > 0].view(np.int64), n=n[n > 0])
+            group = _group(key)
+            some = np.unique(group)
+            yield from rows(batch=np.full(len(some), batch), g=some, asked=[_packed(key[group == g]) for g in some])
+
+    open_, words, strings = None, [], []
     for b in batches:
-        for batch in pc.unique(b.column("batch")).to_pylist():
-            for done in [x for x in words if x != batch]:
-                yield from rows(done, *merged(words.pop(done)))
+        for batch in pc.unique(b.column("batch")).to_pylist():  # ascending, each in one piece of the rows
+            if batch != open_ and open_ is not None:
+                yield from finished(open_, words, strings)
+                words, strings = [], []
+            open_ = batch
             own = b.filter(pc.equal(b.column("batch"), batch))
             train = np.array([not held_out(d) for d in own.column("doc_id").to_pylist()], bool)
             lower, every, offsets = _words(own.column("text"))
             flat = every.dictionary_encode()
             of = np.repeat(train, np.diff(offsets))
             n = np.bincount(flat.indices.to_numpy()[of], minlength=len(flat.dictionary))
-            words.setdefault(batch, []).append((np.r_[_hashes(flat.dictionary), _hashes(pa.array([_END]))], np.r_[n, train.sum()].astype(np.int64)))
-            train_texts = [t for t, yes in zip(lower, train, strict=True) if yes]
-            size, part = 0, []
-            for t in [*train_texts, None]:
-                if part and (t is None or size > PIECE_BYTES):
+            words.append((np.r_[_hashes(flat.dictionary), _hashes(pa.array([_END]))], np.r_[n, train.sum()].astype(np.int64)))
+            for learn in (True, False):
+                for part in _pieces([t for t, yes in zip(lower, train, strict=True) if yes == learn]):
                     key, n = np.unique(grams_of(part)[0], return_counts=True)
-                    grams.append((key, n.astype(np.int64)))
-                    size, part = 0, []
-                if t is not None:
-                    part.append(t)
-                    size += len(t)
-            if sum(len(g[0]) for g in grams) > 2_000_000:
-                grams = [merged(grams)]
-                if len(grams[0][0]) > 1_500_000:
-                    yield from rows(None, *grams.pop())
-    for batch, parts in words.items():
-        yield from rows(batch, *merged(parts))
-    if grams:
-        yield from rows(None, *merged(grams))
-
-
-def _nodes(grams: DataFrame) -> DataFrame:
-    """(depth, key, zeros, ones) of all nodes, from (key, n) of strings of DEPTH + 1 bytes."""
-    out, level = None, grams
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if d == DEPTH - 1:
-            level = scratch.save(level, "strings")  # the deeper level is the large one; read it once
-        byte = F.col("key").bitwiseAND(F.lit(255))
-        context = F.shiftleft(F.shiftright("key", 8), 8)
-        bits = F.array(*[F.struct(context.bitwiseOR(F.shiftright(byte, 8 - j).bitwiseOR(F.lit(1 << j))).alias("key"), F.shiftright(byte, 7 - j).bitwiseAND(F.lit(1)).alias("bit")) for j in range(8)])
-        each = level.select("n", F.explode(bits).alias("b")).select("n", "b.key", "b.bit")
-        sums = each.groupBy("key").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-        found = sums.select(F.lit(d).alias("depth"), "key", "zeros", "ones")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def fit(grams: DataFrame, most: int = NODES) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The weighed model of at most `most` nodes."""
-    nodes = scratch.save(_nodes(scratch.save(grams, "strings")), "nodes")
-    step = F.floor(4 * F.log2(F.col("zeros") + F.col("ones"))).cast("int")
-    sizes = sorted(((s, n) for s, n in nodes.groupBy(step.alias("s")).count().collect()), reverse=True)  # a row for each quarter power of two
-    total, floor = 0, None
-    for s, n in sizes:
-        if total + n > most:
-            break
-        total, floor = total + n, s
-    kept = nodes.filter(step >= (floor if floor is not None else 1 << 30))
-    levels = []
-    for d in range(DEPTH + 1):  # a depth at a time; all together have at most `most` rows
-        rows = kept.filter(F.col("depth") == d).select("key", "zeros", "ones").toArrow()
-        key, zeros, ones = (rows.column(n).to_numpy() for n in ("key", "zeros", "ones"))
-        del rows
-        order = np.argsort(key.view(_U))
-        levels.append((key.view(_U)[order], zeros[order], ones[order]))
-    scratch.drop(nodes)
-    return weigh(levels)
-
-
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = NODES) -> DataFrame:
+                    strings.append((key, n.astype(np.int64) * learn))
+                    if sum(len(k) for k, _ in strings) > 2_000_000:
+                        strings = [summed(*(np.concatenate(p) for p in zip(*strings, strict=True)))]
+            if len(words) > 8:
+                words = [summed(*(np.concatenate(p) for p in zip(*words, strict=True)))]
+    if open_ is not None:
+        yield from finished(open_, words, strings)
+
+
+def _pieces(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def _sorted_strings(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return summed(t.column("key").to_numpy().view(_U), t.column("n").to_numpy())
+
+
+def top_model(strings: DataFrame) -> list[Level]:
+    """The weighed nodes above depth TOP, from (g, key, n).
+
+    Groups give sums for the nodes of depth TOP - 1: less than 256 to the power of TOP rows come
+    to the driver, whatever the corpus.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes = levels(*_sorted_strings(t), TOP)
+        _, whole = weigh(nodes, TOP)
+        key, zeros, ones, split = summed(_parent(nodes[0][0], TOP - 1), nodes[0][1], nodes[0][2], whole)
+        return pa.table({"key": pa.array(key.view(np.int64)), "zeros": pa.array(zeros), "ones": pa.array(ones), "split": pa.array(split)})
+
+    sums = strings.groupBy("g").applyInArrow(run, "key long, zeros long, ones long, split double")
+    exact = F.sum(F.col("split").cast("decimal(38,12)")).cast("double")  # the same in any order
+    rows = sums.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), exact.alias("split")).toArrow()
+    key = rows.column("key").to_numpy().view(_U)
+    order = np.argsort(key)
+    key, zeros, ones, split = key[order], *(rows.column(n).to_numpy()[order] for n in ("zeros", "ones", "split"))
+    nodes = [(key, zeros, ones)]
+    for d in range(TOP - 2, -1, -1):
+        nodes.append(summed(_parent(nodes[-1][0], d), *nodes[-1][1:]))
+    return weigh(nodes[::-1], 0, split)[0]
+
+
+def answers(strings: DataFrame, asked: DataFrame, top, tasks: int) -> DataFrame:
+    """(batch, asked, logs): asked (batch, g, asked) with the log10 of each string's probability."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = [*top.value, *weigh(levels(*_sorted_strings(left), TOP), TOP)[0]]
+        each = [_unpacked(x) for x in right.column("asked").to_pylist()]
+        every = np.unique(np.concatenate(each)) if each else np.zeros(0, _U)
+        logs = log_probabilities(model, every) if each else np.zeros(0)
+        return pa.table({"batch": right.column("batch"), "asked": right.column("asked"), "logs": pa.array([logs[np.searchsorted(every, x)].tobytes() for x in each], pa.binary())})
+
+    salted = strings.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+    dealt = asked.withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(tasks).cast("long")))
+    return salted.groupBy("g", "salt").cogroup(dealt.groupBy("g", "salt")).applyInArrow(run, "batch long, asked binary, logs binary")
+
+
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", asked_strings: int = ASKED) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     spark = docs.sparkSession
     ship(spark)
     ids = docs.schema[doc_id].dataType
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     held = scratch.save(map_batches(texts, _batched, T.StructType([T.StructField("doc_id", ids), T.StructField("text", T.StringType()), T.StructField("batch", T.LongType())])), "texts")
-    counted = scratch.save(map_batches(held, _counted, T.StructType([T.StructField("batch", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])), "counts")
-    model = spark.sparkContext.broadcast(fit(counted.filter("batch IS NULL").groupBy("key").agg(F.sum("n").alias("n")), most))  # at most `most` nodes
-
-    asked = counted.filter("batch IS NOT NULL").select("batch", "key", "n")
-    sums = scratch.save(asked.groupBy("key").agg(F.sum("n").alias("c")), "words")
+    counted = scratch.save(map_batches(held, _counted, "batch long, key long, n long, g long, asked binary"), "counts")
+    strings = counted.filter("batch IS NULL").groupBy("key").agg(F.sum("n").alias("n")).withColumn("g", _group_column("key"))
+    strings = scratch.save(strings, "strings")
+    top = spark.sparkContext.broadcast(top_model(strings))  # less than 256 to the power of TOP nodes
+    asked = counted.filter("asked IS NOT NULL").select("batch", "g", "asked")
+    size = asked.agg(F.coalesce(F.sum(F.length("asked")), F.lit(0))).first()[0] // 8
+    answered = answers(strings, asked, top, max(1, -(-size // (GROUPS * asked_strings))))
+
+    words = counted.filter("batch IS NOT NULL AND key IS NOT NULL").select("batch", "key", "n")
+    sums = scratch.save(words.groupBy("key").agg(F.sum("n").alias("c")), "words")
     n_all, n_kinds = sums.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    answers = asked.join(sums, "key").select("batch", "key", "c")
+    known = words.join(sums, "key").select("batch", "key", "c")
+    right_rows = known.unionByName(answered, allowMissingColumns=True)
     schema = pa.schema([("doc_id", to_arrow_type(ids)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("key").to_numpy())
-        key, count = right.column("key").to_numpy()[order], right.column("c").to_numpy()[order]
+        of_words = right.filter(pc.is_valid(right.column("key")))
+        order = np.argsort(of_words.column("key").to_numpy())
+        key, count = of_words.column("key").to_numpy()[order], of_words.column("c").to_numpy()[order]
+        of_strings = right.filter(pc.is_valid(right.column("asked")))
+        every = np.concatenate([_unpacked(x) for x in of_strings.column("asked").to_pylist()])
+        logs = np.concatenate([np.frombuffer(x) for x in of_strings.column("logs").to_pylist()])
+        order = np.argsort(every)
+        every, logs = every[order], logs[order]
         unit = math.log10(n_all + n_kinds + 1)
         out = []
         for b in left.combine_chunks().to_batches():
-            lower, every, offsets = _words(b.column("text"))
-            flat = every.dictionary_encode()
+            lower, words_, offsets = _words(b.column("text"))
+            flat = words_.dictionary_encode()
             c = count[np.searchsorted(key, _hashes(flat.dictionary))] if len(flat.dictionary) else np.zeros(0, np.int64)
             end = count[np.searchsorted(key, _hashes(pa.array([_END])))][0]
-            per, known = np.log10(c + 1.0)[flat.indices.to_numpy()], (c > 0)[flat.indices.to_numpy()]
+            per, seen = np.log10(c + 1.0)[flat.indices.to_numpy()], (c > 0)[flat.indices.to_numpy()]
             n = np.diff(offsets).astype(np.int64) + 1
             base = np.array([math.fsum(per[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]) + math.log10(end + 1.0) - n * unit
-            n_known = np.diff(np.r_[0, np.cumsum(known)][offsets]) + int(end > 0)
+            n_known = np.diff(np.r_[0, np.cumsum(seen)][offsets]) + int(end > 0)
             fold = [held_out(d) for d in b.column("doc_id").to_pylist()]
-            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fold), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(text_scores(model.value, lower))], schema=schema))
+            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fold), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(text_scores(every, logs, lower))], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
     spark_schema = T.StructType([T.StructField("doc_id", ids), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return held.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, spark_schema)
-
-
-def text_scores(model: list, texts: list[bytes], piece_bytes: int = PIECE_BYTES) -> np.ndarray:
-    """log10 of each text's probability, its end included; distinct strings are looked up once."""
-    pieces, part, size = [], [], 0
-    for t in [*texts, None]:
-        if part and (t is None or size + len(t) > piece_bytes):
-            grams, ends = grams_of(part)
-            order = np.argsort(grams).astype(np.int32)
-            grams = grams[order]
-            first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]).astype(np.int32)
-            pieces.append((order, first, grams[first], ends))
-            part, size = [], 0
-        if t is not None:
-            part.append(t)
-            size += len(t)
-    every = np.unique(np.concatenate([p[2] for p in pieces])) if pieces else np.zeros(0, _U)
-    each, out = log_probabilities(model, every), []
-    for order, first, distinct, ends in pieces:
-        cost = np.empty(len(order))
-        cost[order] = np.repeat(each[np.searchsorted(every, distinct)], np.diff(np.r_[first, len(order)]))
+    return held.groupBy("batch").cogroup(right_rows.groupBy("batch")).applyInArrow(run, spark_schema)
+
+
+def text_scores(every: np.ndarray, logs: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """log10 of each text's probability, its end included; every ascends and has all strings of the texts."""
+    out = [np.zeros(0)]
+    for part in _pieces(texts):
+        grams, ends = grams_of(part)
+        distinct, inverse = np.unique(grams, return_inverse=True)
+        cost = logs[np.searchsorted(every, distinct)][inverse]
         out.append(np.add.reduceat(cost, np.r_[0, ends[:-1]]))
-    return np.concatenate([*out, np.zeros(0)])
+    return np.concatenate(out)
 
 
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
