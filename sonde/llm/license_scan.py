@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from sonde.llm.textexpr import let, lower_ascii, plain_words, whole
 
-#: Only the SQL below has this bound.
-LOOKUPS = 6
 SHARE = 0.7
 #: Phrases that give a label wherever their words stand in a row.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -139,16 +137,12 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
 p AS (SELECT rid, i - 1 AS i, ws[i] AS w FROM d, unnest(generate_series(1, len(ws))) AS u(i)),
 phrases(label, n, words) AS (VALUES {", ".join(f"('{label}', {len(text.split())}, {text.split()})" for text, label in PHRASES)}),
 base AS (SELECT rid, label, p.i AS pos FROM p JOIN phrases ON p.w = words[1] JOIN d USING (rid) WHERE list_slice(ws, p.i + 1, p.i + n) = words),
-templates(t, label, n, key_at, key_len) AS (VALUES {_values((t, label, len(text.split()), *_key(text, phrase)) for t, (label, text, phrase) in enumerate(TEMPLATES))}),
-tw(t, j, w, common) AS (VALUES {_values((t, j, w, w in COMMON) for t, (_, text, _) in enumerate(TEMPLATES) for j, w in enumerate(text.split()))}),
-df AS (SELECT w, count(DISTINCT rid) AS n FROM p WHERE w IN (SELECT w FROM tw WHERE NOT common) GROUP BY w),
-ranked AS (SELECT w, row_number() OVER (ORDER BY n, w) AS r FROM df),
-held AS (SELECT DISTINCT rid, w, r FROM p JOIN ranked USING (w)),
-rare AS (SELECT rid, w FROM held QUALIFY row_number() OVER (PARTITION BY rid ORDER BY r) <= {LOOKUPS}),
-al AS (SELECT p.rid, tw.t, p.i - tw.j AS pos FROM p JOIN rare USING (rid, w) JOIN tw USING (w) GROUP BY ALL HAVING count(*) > 1),
+templates(t, label, n) AS (VALUES {_values((t, label, len(text.split())) for t, (label, text, _) in enumerate(TEMPLATES))}),
+tw(t, j, w) AS (VALUES {_values((t, j, w) for t, (_, text, _) in enumerate(TEMPLATES) for j, w in enumerate(text.split()))}),
+keys(t, key_at, key_len, words) AS (VALUES {", ".join(f"({t}, {_key(text, phrase)[0]}, {_key(text, phrase)[1]}, {phrase.split()})" for t, (_, text, phrase) in enumerate(TEMPLATES))}),
+al AS (SELECT p.rid, keys.t, p.i - key_at AS pos FROM p JOIN keys ON p.w = words[1] JOIN d USING (rid) WHERE list_slice(ws, p.i + 1, p.i + key_len) = words),
 st AS (SELECT al.rid, al.t, al.pos, tw.j, coalesce(p.w = tw.w, false) AS ok FROM al JOIN tw USING (t) LEFT JOIN p ON p.rid = al.rid AND p.i = al.pos + tw.j),
-ver AS (SELECT st.rid, label, count(*) FILTER (ok) / n AS share FROM st JOIN templates USING (t) GROUP BY st.rid, st.t, st.pos, label, n
-        HAVING bool_and(ok OR j < key_at OR j >= key_at + key_len)),
+ver AS (SELECT st.rid, label, count(*) FILTER (ok) / n AS share FROM st JOIN templates USING (t) GROUP BY st.rid, st.t, st.pos, label, n),
 b AS (SELECT rid, count(*) AS n, min(pos) AS lo, max(pos) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY rid),
 l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION ALL SELECT rid, label FROM ver WHERE share >= {SHARE}) GROUP BY rid),
 s AS (SELECT rid, max(share) AS score FROM ver GROUP BY rid)

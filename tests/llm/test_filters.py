@@ -124,23 +124,19 @@ LICENCES = [
 
 def scanned(rows):
     words = {k: PLAIN.findall(lower(t)) for k, (_, t, _) in enumerate(rows)}
-    vocab = {w for _, t, _ in license_scan.TEMPLATES for w in t.split()} - license_scan.COMMON
-    df = Counter(w for ws in words.values() for w in set(ws) & vocab)
     out = []
     for k, (d, _, _) in enumerate(rows):
         w = words[k]
         base = [(i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-        rare = sorted(set(w) & vocab, key=lambda x: (df[x], x))[: license_scan.LOOKUPS]
-        votes = Counter((t, i - j) for i, x in enumerate(w) if x in rare for t, (_, text, _) in enumerate(license_scan.TEMPLATES) for j, y in enumerate(text.split()) if x == y)
         labels, score = {label for _, label in base}, 0.0
-        for (t, at), n in votes.items():
-            label, text, phrase = license_scan.TEMPLATES[t]
-            tw, (key, size) = text.split(), license_scan._key(text, phrase)
-            ok = [0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(tw)]
-            if n > 1 and all(ok[key : key + size]):
-                share = sum(ok) / len(ok)
-                score = max(score, share)
-                labels |= {label} if share >= license_scan.SHARE else set()
+        for label, text, phrase in license_scan.TEMPLATES:
+            tw, pw = text.split(), phrase.split()
+            key = next(j for j in range(len(tw)) if tw[j : j + len(pw)] == pw)
+            for i in range(len(w)):
+                if w[i : i + len(pw)] == pw:
+                    share = sum(0 <= i - key + j < len(w) and w[i - key + j] == x for j, x in enumerate(tw)) / len(tw)
+                    score = max(score, share)
+                    labels |= {label} if share >= license_scan.SHARE else set()
         at = [i for i, _ in base]
         out.append((d, len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), score))
     return out
@@ -165,15 +161,15 @@ def templates_dropped(rows, least):
             lines.append((k, n, x, w))
             if w:
                 forms[w].add(k)
-    support = Counter()
+    support = defaultdict(set)
     for w, ds in forms.items():
         for i, x in enumerate(w):
-            support[len(w), w[:3], i, x] += len(ds)
-    template = {w: tuple(x if support[len(w), w[:3], i, x] >= least else "*" for i, x in enumerate(w)) for w in forms}
-    total = Counter()
+            support[len(w), w[:3], i, x] |= ds
+    template = {w: tuple(x if len(support[len(w), w[:3], i, x]) >= least else "*" for i, x in enumerate(w)) for w in forms}
+    total = defaultdict(set)
     for w, ds in forms.items():
-        total[len(w), w[:3], template[w]] += len(ds)
-    gone = {w for w in forms if total[len(w), w[:3], template[w]] >= least and 2 * template[w].count("*") <= len(w)}
+        total[len(w), w[:3], template[w]] |= ds
+    gone = {w for w in forms if len(total[len(w), w[:3], template[w]]) >= least and 2 * template[w].count("*") <= len(w)}
     out = []
     for k, (d, _, _) in enumerate(rows):
         own = [x for x in lines if x[0] == k]
@@ -187,3 +183,12 @@ def test_line_templates(spark):
     assert plain(got) == plain(templates_dropped(rows, line_templates.MIN_DOCS))
     assert sum(r["n_dropped"] for r in got) >= 14
     assert line_templates.without_templates(frame(spark, [])).count() == 0
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Work grows with the lines, not with their pairs; the long text's forms are those that are spelled out."""
+    lines = [f"entry of the {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)} kind was seen here" for k in range(17_576)]
+    rows = [(1, "\n".join(lines * 3), "s")] + [(k, lines[k] + "\nonly here " + "abcdefgh"[k], "s") for k in range(2, 8)]
+    got = {r["doc_id"]: r for r in line_templates.without_templates(frame(spark, rows)).collect()}
+    assert (got[1]["n_lines"], got[1]["n_dropped"], got[1]["text"]) == (52_728, 52_728, "")
+    assert all(got[k]["text"] == "only here " + "abcdefgh"[k] for k in range(2, 8))
