@@ -52,7 +52,9 @@ def _in_documents(rows: DataFrame, keys: list[str], owners: DataFrame, min_docs:
 
 def recurring(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(leaf, form) of lines to drop; lines has uid and the array `tree`, texts uid and text."""
-    each = lines.select("uid", F.explode(F.array_distinct(F.transform("tree", lambda t: t.dropFields("no")))).alias("t")).select("uid", "t.*")
+    in_order = F.sort_array(F.transform("tree", lambda t: t.dropFields("no")))
+    once = let(in_order, lambda s: F.filter(s, lambda t, i: (i == 0) | (t != F.get(s, i - 1))))  # a set of structs would compare all pairs
+    each = lines.select("uid", F.explode(once).alias("t")).select("uid", "t.*")
     forms = each.groupBy("leaf", "form", "n", "fields").agg(F.count("*").alias("docs"), F.min("uid").alias("uid"))
     forms = scratch.save(forms, "forms")
     alone = forms.filter((F.col("docs") >= min_docs) & _fixed_enough(F.col("n"), F.col("fields"))).select("leaf", "form")
@@ -60,9 +62,9 @@ def recurring(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS) -> D
     mixed = forms.groupBy("leaf").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("all_forms")).filter((F.col("all_docs") >= min_docs) & (F.col("all_forms") > 1)).select("leaf")
     open_ = scratch.save(forms.filter(F.col("n") > LEADING).join(mixed, "leaf"), "open-forms")
     owners = scratch.save(each.select("uid", "leaf", "form").join(open_.filter(F.col("docs") < min_docs).select("leaf", "form"), ["leaf", "form"]), "owners")
-    places = open_.groupBy("uid").agg(F.collect_list(F.struct("leaf", "form", "docs")).alias("wanted"))
-    named = F.transform(F.split("text", "\n"), lambda x: let(_general(x), lambda w: F.struct(F.xxhash64(w).alias("form"), w.alias("words"))))
-    spelled = texts.join(places, "uid").select("wanted", F.explode(F.array_distinct(named)).alias("l")).select(F.col("l.words").alias("words"), F.explode(F.filter("wanted", lambda w: w["form"] == F.col("l.form"))).alias("w")).select("w.*", "words")
+    wanted = open_.select("uid", "leaf", "form", "docs")
+    spoken = texts.join(wanted.select("uid").distinct(), "uid", "left_semi").select("uid", F.explode(F.transform(F.split("text", "\n"), _general)).alias("words")).filter(F.size("words") > LEADING)
+    spelled = spoken.withColumn("form", F.xxhash64("words")).join(wanted, ["uid", "form"]).groupBy("leaf", "form", "docs").agg(F.first("words").alias("words"))
     spelled = scratch.save(spelled, "spelled")
     words = spelled.select("leaf", "form", "docs", F.posexplode("words").alias("at", "word"))
     known = _in_documents(words, ["leaf", "at", "word"], owners, min_docs).withColumn("known", F.lit(True))
@@ -99,12 +101,14 @@ ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT rid, i AS no, string_split(text, chr(10))[i] AS line FROM d, unnest(generate_series(1, len(string_split(text, chr(10))))) AS u(i)),
 f AS (SELECT rid, no, line, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS w FROM l),
-forms AS (SELECT w, len(w) AS n, list_slice(w, 1, {LEADING}) AS lead, count(DISTINCT rid) AS docs, row_number() OVER () AS form FROM f WHERE len(w) > 0 GROUP BY w),
-words AS (SELECT form, n, lead, docs, i AS at_, w[i] AS word FROM forms, unnest(generate_series(1, len(w))) AS u(i)),
-known AS (SELECT n, lead, at_, word, sum(docs) AS support FROM words GROUP BY ALL),
-t AS (SELECT form, n, lead, docs, string_agg(CASE WHEN support >= {MIN_DOCS} THEN word ELSE '*' END, ' ' ORDER BY at_) AS template,
-             count(*) FILTER (support < {MIN_DOCS} OR word = '*') AS fields FROM words JOIN known USING (n, lead, at_, word) GROUP BY form, n, lead, docs),
-r AS (SELECT form FROM (SELECT form, n, fields, sum(docs) OVER (PARTITION BY n, lead, template) AS support FROM t) WHERE support >= {MIN_DOCS} AND 2 * fields <= n),
+forms AS (SELECT w, len(w) AS n, list_slice(w, 1, {LEADING}) AS lead, row_number() OVER () AS form FROM f WHERE len(w) > 0 GROUP BY w),
+words AS (SELECT form, n, lead, i AS at_, w[i] AS word FROM forms, unnest(generate_series(1, len(w))) AS u(i)),
+owners AS (SELECT DISTINCT form, rid FROM f JOIN forms USING (w)),
+known AS (SELECT n, lead, at_, word, count(DISTINCT rid) AS support FROM words JOIN owners USING (form) GROUP BY ALL),
+t AS (SELECT form, n, lead, string_agg(CASE WHEN support >= {MIN_DOCS} THEN word ELSE '*' END, ' ' ORDER BY at_) AS template,
+             count(*) FILTER (support < {MIN_DOCS} OR word = '*') AS fields FROM words JOIN known USING (n, lead, at_, word) GROUP BY form, n, lead),
+often AS (SELECT n, lead, template FROM t JOIN owners USING (form) GROUP BY ALL HAVING count(DISTINCT rid) >= {MIN_DOCS}),
+r AS (SELECT form FROM t JOIN often USING (n, lead, template) WHERE 2 * fields <= n),
 m AS (SELECT f.rid, f.no, f.line, len(f.w) > 0 AS real, r.form IS NOT NULL AS gone FROM f LEFT JOIN forms ON forms.w = f.w AND len(f.w) > 0 LEFT JOIN r ON r.form = forms.form)
 SELECT d.doc_id, count(*) FILTER (real)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '')) AS kept_sha256
