@@ -12,7 +12,7 @@ is missing is closed by the one further document whose size comes nearest to it,
 brings the sum nearer. The order is one global order over (source, key) that is cut into
 ranges, so a source with a third of all rows is no single task.
 
-Edge cases: null or empty texts have size 0 and take nothing; a null source is a source; null
+Edge cases: texts without words have size 0 and are never taken; a null source is a source; null
 ids are drawn by the text; repeated rows are documents of their own; further columns have no
 influence; an empty table gives an empty result.
 """
@@ -83,7 +83,8 @@ def mix(rows: DataFrame, seed: int = 0) -> DataFrame:
     missing = F.abs(F.col("gap") - F.col("size"))
     near = chosen.filter("NOT drawn").join(gaps, "rank").filter(missing < F.col("gap"))
     closing = near.groupBy("rank").agg(F.min(F.struct(missing.alias("off"), "key", "tie", "uid")).alias("m")).select(F.col("m.uid").alias("uid"), F.lit(True).alias("closes"))
-    times = F.col("epochs") + F.when(F.col("drawn") | F.coalesce("closes", F.lit(False)), 1).otherwise(0)
+    once_more = F.when(F.col("drawn") | F.coalesce("closes", F.lit(False)), 1).otherwise(0)
+    times = F.when(F.col("size") > 0, F.col("epochs") + once_more).otherwise(0)  # nothing of a text without words is ever missing
     return chosen.join(closing, "uid", "left").select("uid", "doc_id", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).cast("long").alias("taken"))
 
 
