@@ -14,7 +14,7 @@ The store's folder holds three Parquet tables:
 The tokenizer in use never joins characters over ASCII white space, so each distinct word of
 a batch is encoded once by the library and its ids are laid out by array operations.
 
-Edge cases: a null or empty text has the end id alone; null doc_ids come first; rows with
+Edge cases: a null or empty text has the end id alone; doc_ids have to be numbers; null ones come first; rows with
 equal ids are separate documents in a fixed order; further columns are ignored; an empty
 table gives an empty store.
 """
@@ -332,6 +332,14 @@ def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
     return map_batches(stored_chunks(spark, path), run, schema)
 
 
+def _check_totals(recipes: DataFrame, manifest: DataFrame) -> None:
+    """Stops unless there are as many recipes and ids as the manifest says."""
+    total = lambda df, n: tuple(df.agg(n, F.coalesce(F.sum("n_tokens"), F.lit(0))).first())
+    have, want = total(recipes, F.count("*")), total(manifest, F.coalesce(F.sum("n_docs"), F.lit(0)))
+    if have != want:
+        raise ValueError(f"the store has {have[0]} recipes of {have[1]} ids, its manifest {want[0]} of {want[1]}")
+
+
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each stored document.
 
@@ -339,8 +347,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     Merkle root is built again from the names under which they were found.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
+    _check_totals(recipes, spark.read.parquet(f"{path}/manifest"))
     parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode(F.arrays_zip("digests", "sizes")).alias("at", "c"))
-    found = parts.select("doc_id", "start", "n_tokens", "root", "at", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size")).join(chunk_sums(spark, path), "digest")
+    # a chunk that the store lacks stays as a null and stops the reading
+    found = parts.select("doc_id", "start", "n_tokens", "root", "at", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size")).join(chunk_sums(spark, path), "digest", "left")
     # a document has an id at least, so that its start is its own
     docs = found.groupBy("start").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.max("root").alias("root"), F.sort_array(F.collect_list(F.struct("at", "size", "crc", "digest"))).alias("c"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -349,7 +359,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             crcs = []
             for start, n, root, got in zip(b.column("start").to_pylist(), b.column("n_tokens").to_pylist(), b.column("root").to_pylist(), b.column("c").to_pylist(), strict=True):
-                if sum(x["size"] for x in got) != n or merkle_root([x["digest"] for x in got]) != root:
+                if any(x["crc"] is None for x in got) or sum(x["size"] for x in got) != n or merkle_root([x["digest"] for x in got]) != root:
                     raise ValueError(f"the document at {start} cannot be put together")
                 crc = 0
                 for x in got:
