@@ -191,6 +191,11 @@ def suffix_order(data: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple
         run = place // width
         other = np.minimum((run ^ 1) * width, m)
         low, high = np.zeros(m, np.int64), np.minimum(other + width, m) - other
+        # rows ascend by group, so only a group on both sides of a seam needs a search
+        beside = np.where(run & 1, other + high, other + 1) - 1
+        own, theirs = group[order], group[order[np.minimum(beside, m - 1)]]
+        apart = np.where(run & 1, own > theirs, own < theirs) & (high > 0)
+        low, high = np.where(apart & (run & 1 == 1), high, low), np.where(apart & (run & 1 == 0), 0, high)
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
@@ -518,27 +523,26 @@ def repeated_ranges(docs: DataFrame, unit: Unit = BYTES, group: int = GROUP) ->
         scratch.drop(sizes)
 
 
-def _merged(ranges) -> list[list[int]]:
-    """The ranges in order, joined where they meet."""
-    out: list[list[int]] = []
-    for start, stop in sorted((r["start"], r["stop"]) for r in ranges or ()):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop])
-    return out
+def _merged(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
+    """The ranges (start, stop) of a row in order, joined where they meet."""
+    values = batch.column(column)[k].values
+    if values is None or not len(values):
+        return np.zeros((0, 2), np.int64)
+    start, stop = (values.field(n).to_numpy().astype(np.int64) for n in ("start", "stop"))
+    by = np.argsort(start, kind="stable")
+    start, upto = start[by], np.maximum.accumulate(stop[by])
+    first = np.flatnonzero(np.r_[True, start[1:] > upto[:-1]])
+    return np.stack([start[first], upto[np.r_[first[1:], len(start)] - 1]], axis=1)
 
 
-def complete(data: np.ndarray, ranges: list[list[int]], unit: Unit) -> list[list[int]]:
+def complete(data: np.ndarray, ranges: np.ndarray, unit: Unit) -> np.ndarray:
     """The ranges and all others of the same strings in data, joined where they meet."""
-    if not ranges:
-        return ranges
     upto = prefix_hashes(data)
     strings = _mixed((upto[unit.length :] - upto[: -unit.length]) * _Powers.of(len(data))[0][: len(upto) - unit.length])
-    known = np.concatenate([strings[s : e - unit.length + 1] for s, e in ranges])
+    known = np.concatenate([strings[s : e - unit.length + 1] for s, e in ranges.tolist()])
     at = np.flatnonzero(np.isin(strings, known))
     first = np.flatnonzero(np.r_[True, at[1:] > at[:-1] + unit.length])
-    return [[int(at[s]), int(at[e - 1]) + unit.length] for s, e in zip(first, np.r_[first[1:], len(at)], strict=True)]
+    return np.stack([at[first], at[np.r_[first[1:], len(at)] - 1] + unit.length], axis=1)
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group: int = GROUP, unit: Unit = BYTES, passage: Unit = PASSAGE) -> DataFrame:
@@ -558,11 +562,12 @@ def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
             kept, sums = [], []
             for k in range(b.num_rows):
                 raw = _text_at(b, "text", k).tobytes()
-                gone, held = (_merged(b.column(c)[k].as_py()) for c in ("ranges", "passages"))
-                held = complete(_text_at(b, "text", k, passage), held, passage) if held else held
-                ends = [0, *(x for r in gone for x in r), len(raw)]
-                kept.append(b"".join(raw[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True)))
-                sums.append((len(raw), len(raw) - len(kept[-1]), len(gone), len(held), sum(e - s for s, e in held)))
+                gone, held = _merged(b, "ranges", k), _merged(b, "passages", k)
+                if len(held):
+                    held = complete(_text_at(b, "text", k, passage), held, passage)
+                ends = [0, *gone.ravel().tolist(), len(raw)]
+                kept.append(b"".join([raw[s:e] for s, e in zip(ends[::2], ends[1::2], strict=True)]) if len(gone) else raw)
+                sums.append((len(raw), len(raw) - len(kept[-1]), len(gone), len(held), int((held[:, 1] - held[:, 0]).sum())))
             n = np.array(sums, np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), *(pa.array(n[:, c]) for c in range(5))], names=schema.names)
 
