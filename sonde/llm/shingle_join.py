@@ -7,19 +7,19 @@ candidates, sizes and places rule most of them out, and the rest are compared in
 common a shingle is comes from a table of ``BUCKETS`` counts: it only makes the order, so that
 texts which share a common line do not all meet, and no result depends on it.
 
-Texts with equal sets are one. The others meet the first text of each shared shingle; what is
-not yet of one component after that meets in pairs, so that a large group of near copies is
-not compared each with each.
+Texts with equal sets are one. The others meet the first text of each shared shingle, unless
+links that are known already tie them; what is not yet of one component after that meets in
+pairs, so that a large group of near copies is not compared each with each. `simhash` calls
+this for the pairs that its fingerprints do not bring together.
 
-Edge cases: a text of fewer words than a shingle has all of them as its only one, as has an
-empty or null text; a null id comes last; repeated rows are rows; further columns have no
-influence; an empty table gives an empty result. Shingles are told apart by 64-bit hashes.
+A text of fewer words than a shingle has all of them as its only one, as has an empty or null
+text. Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,24 +85,26 @@ def _commonness(texts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _marked(texts: DataFrame, doc_id: T.DataType) -> DataFrame:
-    """(doc_id, uid, of, n, prefix): the set's name, its size, and its first shingles in the common order."""
+def named_sets(texts: DataFrame, doc_id: T.DataType, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
+    """(doc_id, uid, of, n, fp, prefix): the set's name, its size, what fingerprint says of its
+    hashes (as a signed long), and its first shingles in the common order."""
     order = texts.sparkSession.sparkContext.broadcast(_commonness(texts.select("text")))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, sizes, prefixes = [], [], []
+            names, sizes, marks, prefixes = [], [], [], []
             for t in b.column(2):
                 h = shingles(t.as_py())
                 names.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sizes.append(len(h))
+                marks.append(fingerprint(h))
                 first = len(h) - -(-NEAR[0] * len(h) // NEAR[1]) + 1
                 prefixes.append(h[np.lexsort((h, order.value[_buckets(h)]))[:first]].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
             values = np.concatenate([*prefixes, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "uid", "of", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(marks, _U).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "uid", "of", "n", "fp", "prefix"])
 
-    schema = T.StructType([T.StructField("doc_id", doc_id), T.StructField("uid", T.LongType()), T.StructField("of", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", doc_id), T.StructField("uid", T.LongType()), T.StructField("of", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return map_batches(texts.select("doc_id", "uid", "text"), run, schema)
 
 
@@ -118,7 +120,7 @@ def _possible(a: str, b: str) -> Column:
     return _enough(most, c(a, "n"), c(b, "n")) & _enough(F.least(c(a, "n"), c(b, "n")), c(a, "n"), c(b, "n"))
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of uids whose sets are similar, compared in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,15 +135,22 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
 
 
-def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all similar pairs; sets has uid, n and prefix."""
+def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) whose components are those of all similar pairs; sets has uid, n and prefix.
+
+    known: links of similar pairs that were found before; they are among the result.
+    """
     postings = sets.select("uid", "n", F.posexplode("prefix").alias("at", "token"))
     one = Window.partitionBy("token")
     met = postings.withColumn("k", F.count("*").over(one)).withColumn("first", F.min(F.struct("uid", "n", "at")).over(one))
     shared = scratch.save(met.filter("k > 1").select("token", F.struct("uid", "n", "at").alias("m"), "first"), "shared")
     pair = lambda a, b: (F.least(f"{a}.uid", f"{b}.uid").alias("a"), F.greatest(f"{a}.uid", f"{b}.uid").alias("b"))
-    tried = scratch.save(shared.filter((F.col("m.uid") != F.col("first.uid")) & _possible("m", "first")).select(*pair("m", "first")).distinct(), "tried")
-    links = scratch.save(_similar(tried, texts), "near")
+    tried = shared.filter((F.col("m.uid") != F.col("first.uid")) & _possible("m", "first")).select(*pair("m", "first")).distinct()
+    before = scratch.save(components(known).select(F.col("node").alias("uid"), "root"), "roots")
+    root = lambda end: before.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}"))
+    apart_yet = tried.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    tried = scratch.save(apart_yet.select("a", "b"), "tried")
+    links = known.unionByName(scratch.save(similar(tried, texts), "near"))
     roots = components(links).select(F.col("node").alias("uid"), "root")
     of = shared.select("token", "m", F.col("m.uid").alias("uid")).join(roots, "uid", "left").select("token", "m", F.coalesce("root", "uid").alias("root"))
     several = of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
@@ -149,17 +158,4 @@ def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     other = apart.select("token", F.col("m").alias("o"), F.col("root").alias("other"))
     pairs = apart.join(other, "token").filter((F.col("root") < F.col("other")) & _possible("m", "o")).select(*pair("m", "o")).distinct()
     rest = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(scratch.save(_similar(rest, texts), "near"))
-
-
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest id (a null id comes last)."""
-    whole = scratch.by_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")))
-    texts = whole.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "uid", F.col(f"row.`{text}`").alias("text"))
-    marked = scratch.save(_marked(texts, docs.schema[doc_id].dataType), "marked")
-    least = scratch.save(marked.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")).select("m"), "least")  # equal texts go within their tasks
-    sets = marked.join(least.select("m.uid"), "uid", "left_semi")
-    roots = components(similar_links(sets, texts)).select(F.col("node").alias("uid"), "root")
-    of = least.select("m", F.col("m.uid").alias("uid")).join(roots, "uid", "left").select("m", F.coalesce("root", "uid").alias("root"))
-    first = of.groupBy("root").agg(F.min("m").alias("m"))
-    return whole.join(first.select("m.uid"), "uid", "left_semi").select("row.*")
+    return links.unionByName(scratch.save(similar(rest, texts), "near"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sonde.functions.shipping import map_batches
-from sonde.llm import scratch
+from sonde.llm import scratch, shingle_join
 from sonde.llm.components import components
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -43,7 +43,11 @@ def fingerprint(text: str | None) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     grams = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*[words[k:] for k in range(SHINGLE)], strict=False))
-    h = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
+    return majority(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65536):
         ones += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -230,6 +234,37 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return whole.join(first.select("m.uid"), "uid", "left_semi").select("row.*")
 
 
+def near_pairs(sets: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+    """Pairs (a, b) of uids of sets (uid, fp): a star for each fingerprint and for each local component of the index."""
+    first = scratch.save(sets.groupBy("fp").agg(F.min("uid").alias("one")), "fingerprints")
+    same = sets.join(first, "fp").filter("uid <> one").select(F.col("one").alias("a"), F.col("uid").alias("b"))
+    end = lambda name: first.select(F.col("fp").alias(f"{name}_fp"), F.col("one").alias(name))
+    near = local_stars(first.select("fp"), limit).select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp")).distinct().join(end("a"), "a_fp").join(end("b"), "b_fp")
+    return same.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def keep_one_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_BITS + 1) -> DataFrame:
+    """docs with one row of each group of similar texts: that with the smallest id (a null id comes last).
+
+    Similar are texts whose five-word shingles have a Jaccard similarity of 0.8 or more; groups
+    are the components of all such pairs. Fingerprints over these shingles, searched by the
+    Gray-order index within `limit` bits, bring most of them together, and each pair is
+    compared in full. At that similarity fingerprints may differ in a dozen bits, which no
+    index of blocks covers, so pairs further apart are found by the exact join of
+    `shingle_join`; no pair is lost, whatever bits it differs in.
+    """
+    whole = scratch.by_uid(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")))
+    texts = whole.select(F.col(f"row.`{doc_id}`").alias("doc_id"), "uid", F.col(f"row.`{text}`").alias("text"))
+    named = scratch.save(shingle_join.named_sets(texts, docs.schema[doc_id].dataType, majority), "sets")
+    least = scratch.save(named.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")).select("m"), "least")  # equal sets go within their tasks
+    sets = scratch.save(named.join(least.select("m.uid"), "uid", "left_semi"), "distinct")
+    near = scratch.save(shingle_join.similar(scratch.save(near_pairs(sets.select("uid", "fp"), limit), "pairs"), texts), "near")
+    roots = components(shingle_join.similar_links(sets, texts, near)).select(F.col("node").alias("uid"), "root")
+    of = least.select("m", F.col("m.uid").alias("uid")).join(roots, "uid", "left").select("m", F.coalesce("root", "uid").alias("root"))
+    first = of.groupBy("root").agg(F.min("m").alias("m"))
+    return whole.join(first.select("m.uid"), "uid", "left_semi").select("row.*")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
