@@ -16,7 +16,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from sonde.functions.staging import Steps
-from sonde.llm import decontaminate, mixing, quality_rules, scratch, shingle_join, token_store
+from sonde.llm import decontaminate, mixing, quality_rules, scratch, simhash, token_store
 
 
 #: Workers that ran other stages before have less room for words than a store of its own.
@@ -41,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_step
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingle_join.keep_first(docs)
+    return simhash.keep_one_of_similar(docs)
 
 
 @_step

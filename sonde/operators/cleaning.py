@@ -94,6 +94,11 @@ def positional_zip(left: DataFrame, right: DataFrame, left_order: list[str], rig
     return a.join(b, "_place")
 
 
+def every_nth(df: DataFrame, order: list[str], n: int, first: int = 0) -> DataFrame:
+    """Every n-th row of an order, from the place `first` on."""
+    return number_rows(df, order, "_place").filter(F.col("_place") % n == first % n).drop("_place")
+
+
 def identical_schemas(frames: dict[str, DataFrame]) -> None:
     first = next(iter(frames.values())).columns
     for name, df in frames.items():

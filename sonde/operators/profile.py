@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sonde.functions.ordered import running_sum
+
 
 def _long(df: DataFrame, columns: list[str], kind: str = "string") -> DataFrame:
     """(column, value), a row for each cell."""
@@ -46,6 +48,12 @@ def pearson_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode("p").alias("x")).select("x.*")
 
 
+def correlation_summary(pairs: DataFrame) -> DataFrame:
+    """One row over (a, b, r): pairs, shares with r above 0.8 and 0.5, and the middle r."""
+    above = lambda limit: F.avg((F.col("r") > limit).cast("double"))
+    return pairs.agg(F.count("*").alias("pairs"), above(0.8).alias("above_80"), above(0.5).alias("above_50"), F.median("r").alias("middle"))
+
+
 def entropies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, entropy) over the levels, as a share of the largest possible; 0 with one level."""
     counts = _long(df, columns).filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").cast("double").alias("n"))
@@ -116,6 +124,13 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [r["column"] for r in levels(df, columns).filter("levels <= 1").collect()]
 
 
+def constants_by(df: DataFrame, columns: list[str], part: str) -> DataFrame:
+    """(part, column) of the columns that have at most one value in a part, such as a file."""
+    cells = df.select(part, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(part, "x.*")
+    values = cells.groupBy(part, "column", "value").count()
+    return values.groupBy(part, "column").agg(F.count("value").alias("levels")).filter("levels <= 1").select(part, "column")
+
+
 def fill_values(train: DataFrame, numeric: list[str], categorical: list[str]) -> dict[str, float]:
     """What stands in for a missing value: the median, or the mode of a categorical column."""
     found = {r["column"]: r["value"] for r in medians(train, numeric).collect()} if numeric else {}
@@ -150,3 +165,20 @@ def state_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def flagged_share(df: DataFrame, flag: Column, by: Column, name: str) -> DataFrame:
     """(name, n_rows, flagged, share) for each value of `by`, such as days or months."""
     return df.groupBy(by.alias(name)).agg(F.count("*").alias("n_rows"), F.sum(flag.cast("long")).alias("flagged"), F.avg(flag.cast("double")).alias("share"))
+
+
+def subsystem_rollup(channels: DataFrame) -> DataFrame:
+    """(subsystem, channels, targets, categorical) from (Channel, Subsystem, Target, Categorical)."""
+    yes = lambda c: F.count(F.when(F.col(c) == "YES", 1))
+    return channels.groupBy(F.col("Subsystem").alias("subsystem")).agg(F.count("*").alias("channels"), yes("Target").alias("targets"), yes("Categorical").alias("categorical"))
+
+
+def leading_ladder(readings: DataFrame, channel: str, time: str) -> DataFrame:
+    """(first, channels, present): how many channels begin at a time, and how many have by then."""
+    begins = readings.groupBy(channel).agg(F.min(time).alias("first")).groupBy("first").agg(F.count("*").alias("channels"))
+    return running_sum(begins, ["first"], "channels", "present")
+
+
+def over_runs(runs: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Runs of an experiment, such as one for each seed: their number, mean and deviation."""
+    return runs.groupBy(*groups).agg(F.count("*").alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))

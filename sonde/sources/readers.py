@@ -108,15 +108,25 @@ def read_copy_block(spark: SparkSession, path: str, table: str) -> DataFrame:
     return rows.select(*[F.when(cells[k] != "\\N", cells[k]).alias(c) for k, c in enumerate(columns)])
 
 
+def _listed(folder: str, pattern: str) -> list[str]:
+    """Paths in a folder that match a pattern, wherever Spark can read the folder."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or "://" not in folder:
+        return sorted(str(p) for p in Path(folder).glob(pattern))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
 def discover(folder: str | Path) -> tuple[str, dict[str, str]]:
     """The dataset's name and the files of its parts, from <name>_<part>.parquet."""
     files, stems = {}, set()
     for part in ("train", "validation", "test"):
-        found = sorted(Path(folder).glob(f"*_{part}.parquet"))
+        found = _listed(str(folder), f"*_{part}.parquet")
         if len(found) != 1:
             raise ValueError(f"{folder} has {len(found)} files for {part}")
-        files[part] = str(found[0])
-        stems.add(found[0].name.removesuffix(f"_{part}.parquet"))
+        files[part] = found[0]
+        stems.add(found[0].rstrip("/").rsplit("/", 1)[-1].removesuffix(f"_{part}.parquet"))
     if len(stems) != 1:
         raise ValueError(f"the parts belong to several datasets: {sorted(stems)}")
     return stems.pop(), files

@@ -9,11 +9,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from sonde.plans import queries
+from sonde.plans import queries, raw_queries
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ("window_categorical", "asof_hold", "cramer_yates", "lsh_candidates", "density_clusters", "placed_elsewhere", "hop_ball", "roc_ap", "threshold_search", "segment_recall", "stream_windows")
+SOME = ("window_categorical", "asof_hold", "cramer_yates", "lsh_candidates", "density_clusters", "placed_elsewhere", "hop_ball", "roc_ap", "threshold_search", "segment_recall", "stream_windows", "graph_edges", "weighted_prediction", "subgraph_attach")
+RAW = tuple(n for n, f in queries.QUERIES.items() if f.__module__ == raw_queries.__name__)
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
@@ -32,7 +33,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", SOME + RAW)
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

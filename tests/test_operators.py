@@ -313,6 +313,18 @@ def test_a_table_is_replaced_whole_or_not_at_all(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
+def test_splits_are_found_by_either_kind_of_path(spark, tmp_path):
+    for part in ("train", "validation", "test"):
+        spark.range(1).write.parquet(str(tmp_path / f"plant_{part}.parquet"))
+    for folder in (tmp_path, f"file://{tmp_path}"):
+        name, files = readers.discover(folder)
+        assert name == "plant" and spark.read.parquet(files["test"]).count() == 1
+    spark.range(1).write.parquet(str(tmp_path / "other_test.parquet"))
+    for folder in (tmp_path, f"file://{tmp_path}"):
+        with pytest.raises(ValueError):
+            readers.discover(folder)
+
+
 def test_json_has_no_infinities(tmp_path):
     assert "null" in writers.write_json({"a": float("inf"), "b": [1]}, tmp_path / "r.json").read_text()
     assert isinstance(pd.read_json(tmp_path / "r.json", typ="series")["b"], list)
