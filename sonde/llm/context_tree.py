@@ -202,14 +202,28 @@ def _hashes(words: pa.Array) -> np.ndarray:
 # -- the distributed part -------------------------------------------------------------------
 
 
+_PACKED = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the number of a batch of documents of about BATCH_BYTES."""
+    """(batch, rows): documents in compressed pieces of about PIECE_BYTES, numbered by batches of about BATCH_BYTES."""
     number, size = TaskContext.get().partitionId() << 32, 0
     for b in batches:
-        if b.num_rows:
-            upto = size + np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number + upto // BATCH_BYTES)], names=["doc_id", "text", "batch"])
-            size = int(upto[-1])
+        if not b.num_rows:
+            continue
+        upto = size + np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = np.flatnonzero(np.r_[True, np.diff(upto // PIECE_BYTES) > 0])
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), b.num_rows], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=_PACKED) as out:
+                out.write_batch(b.slice(s, e - s))
+            yield pa.RecordBatch.from_arrays([pa.array([number + upto[s] // BATCH_BYTES], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "rows"])
+        size = int(upto[-1])
+
+
+def _documents(rows) -> pa.RecordBatch:
+    """One piece of documents (doc_id, text)."""
+    return pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks().to_batches()[0]
 
 
 def _group(strings: np.ndarray) -> np.ndarray:
@@ -258,14 +272,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     open_, words, strings = None, [], []
     for b in batches:
-        for batch in pc.unique(b.column("batch")).to_pylist():  # ascending, each in one piece of the rows
+        for batch, rows_ in zip(b.column("batch").to_pylist(), b.column("rows"), strict=True):
             if batch != open_ and open_ is not None:
                 yield from finished(open_, words, strings)
                 words, strings = [], []
-            open_ = batch
-            own = b.filter(pc.equal(b.column("batch"), batch))
-            train = np.array([not held_out(d) for d in own.column("doc_id").to_pylist()], bool)
-            lower, every, offsets = _words(own.column("text"))
+            open_, own = batch, _documents(rows_)
+            train = np.array([not held_out(d) for d in own.column(0).to_pylist()], bool)
+            lower, every, offsets = _words(own.column(1))
             flat = every.dictionary_encode()
             of = np.repeat(train, np.diff(offsets))
             n = np.bincount(flat.indices.to_numpy()[of], minlength=len(flat.dictionary))
@@ -344,7 +357,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", asked_st
     ship(spark)
     ids = docs.schema[doc_id].dataType
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    held = scratch.save(map_batches(texts, _batched, T.StructType([T.StructField("doc_id", ids), T.StructField("text", T.StringType()), T.StructField("batch", T.LongType())])), "texts")
+    held = scratch.save(map_batches(texts, _batched, "batch long, rows binary"), "texts")
     counted = scratch.save(map_batches(held, _counted, "batch long, key long, n long, g long, asked binary"), "counts")
     strings = counted.filter("batch IS NULL").groupBy("key").agg(F.sum("n").alias("n")).withColumn("g", _group_column("key"))
     strings = scratch.save(strings, "strings")
@@ -371,8 +384,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", asked_st
         every, logs = every[order], logs[order]
         unit = math.log10(n_all + n_kinds + 1)
         out = []
-        for b in left.combine_chunks().to_batches():
-            lower, words_, offsets = _words(b.column("text"))
+        for rows in (r for part in left.column("rows").chunks for r in part):
+            b = _documents(rows)
+            lower, words_, offsets = _words(b.column(1))
             flat = words_.dictionary_encode()
             c = count[np.searchsorted(key, _hashes(flat.dictionary))] if len(flat.dictionary) else np.zeros(0, np.int64)
             end = count[np.searchsorted(key, _hashes(pa.array([_END])))][0]
@@ -380,12 +394,15 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", asked_st
             n = np.diff(offsets).astype(np.int64) + 1
             base = np.array([math.fsum(per[s:e]) for s, e in zip(offsets[:-1], offsets[1:], strict=True)]) + math.log10(end + 1.0) - n * unit
             n_known = np.diff(np.r_[0, np.cumsum(seen)][offsets]) + int(end > 0)
-            fold = [held_out(d) for d in b.column("doc_id").to_pylist()]
-            out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fold), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(text_scores(every, logs, lower))], schema=schema))
+            fold = [held_out(d) for d in b.column(0).to_pylist()]
+            out.append(pa.RecordBatch.from_arrays([b.column(0), pa.array(fold), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(text_scores(every, logs, lower))], schema=schema))
         return pa.Table.from_batches(out, schema=schema)
 
     spark_schema = T.StructType([T.StructField("doc_id", ids), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return held.groupBy("batch").cogroup(right_rows.groupBy("batch")).applyInArrow(run, spark_schema)
+    # a task for each batch, however many there are
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), held.select("batch").distinct().count())
+    left_rows, right_rows = (df.repartition(tasks, "batch") for df in (held, right_rows))
+    return left_rows.groupBy("batch").cogroup(right_rows.groupBy("batch")).applyInArrow(run, spark_schema)
 
 
 def text_scores(every: np.ndarray, logs: np.ndarray, texts: list[bytes]) -> np.ndarray:
