@@ -28,14 +28,14 @@ def _seconds(c: str):
 # -- scans ----------------------------------------------------------------------------------
 
 
-@query("SELECT floor(epoch(ts))::BIGINT AS at, event_id::BIGINT AS event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END::BIGINT AS user_id, coalesce(event_type = 'error', false)::INT AS is_attack FROM events")
+@query("SELECT floor(epoch(ts))::BIGINT AS at, event_id::BIGINT AS event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END::DOUBLE AS user_id, coalesce(event_type = 'error', false)::INT AS is_attack FROM events")
 def labelled_csv_scan(spark, folder):
     raw = table(spark, folder, "events").select(
         F.concat(F.lit(" "), F.date_format("ts", readers.SWAT_FORMAT)).alias(f" {readers.SWAT_TIME}"), F.concat(F.lit(" "), F.col("event_id")).alias(" event_id "),
         F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string")).otherwise("bad").alias("user_id"), F.when(F.col("event_type") == "error", " A ttack").otherwise("Normal ").alias(readers.SWAT_LABEL),
     )
     found = readers.read_labelled_csv(spark, _written(raw, "labelled"))
-    return found.select(_seconds("datetime"), F.col("event_id").cast("long"), F.col("user_id").cast("long"), F.col("is_attack").cast("int"))
+    return found.select(_seconds("datetime"), F.col("event_id").cast("long"), F.col("user_id").cast("double"), F.col("is_attack").cast("int"))
 
 
 @query("SELECT floor(epoch(ts))::BIGINT AS at, event_id::BIGINT AS event_id, user_id::BIGINT AS user_id FROM events")
