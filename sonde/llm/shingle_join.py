@@ -7,10 +7,11 @@ candidates, sizes and places rule most of them out, and the rest are compared in
 common a shingle is comes from a table of ``BUCKETS`` counts: it only makes the order, so that
 texts which share a common line do not all meet, and no result depends on it.
 
-Texts with equal sets are one. The others meet the first text of each shared shingle, unless
-links that are known already tie them; what is not yet of one component after that meets in
-pairs, so that a large group of near copies is not compared each with each. `simhash` calls
-this for the pairs that its fingerprints do not bring together.
+Texts with equal sets are one. The others meet one text of each shared shingle, unless links
+that are known already tie them, then one of the first and one of the last component that are
+left there; only what is not of one component after that meets in pairs, so that a large group of
+near copies is not compared each with each. `simhash` calls this for the pairs that its
+fingerprints do not bring together.
 
 A text of fewer words than a shingle has all of them as its only one, as has an empty or null
 text. Shingles are told apart by 64-bit hashes.
@@ -35,7 +36,7 @@ from sonde.llm.components import components
 SHINGLE = 5
 #: The similarity as a fraction.
 NEAR = (4, 5)
-BUCKETS, BLOCK = 1 << 20, 1 << 12
+BUCKETS, BLOCK, PIVOTS = 1 << 20, 1 << 12, 3
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 
@@ -114,9 +115,12 @@ def _enough(common: Column, na: Column, nb: Column) -> Column:
 
 
 def _possible(a: str, b: str) -> Column:
-    """Whether sets that share the shingles at these places can be similar at all."""
+    """Whether sets whose first common shingle stands at these places can be similar at all.
+
+    A similar pair meets at its first common shingle, so it may be passed by at all later ones.
+    """
     c = lambda side, name: F.col(f"{side}.{name}")
-    most = F.least(c(a, "at"), c(b, "at")) + F.least(c(a, "n") - c(a, "at"), c(b, "n") - c(b, "at"))
+    most = F.least(c(a, "n") - c(a, "at"), c(b, "n") - c(b, "at"))
     return _enough(most, c(a, "n"), c(b, "n")) & _enough(F.least(c(a, "n"), c(b, "n")), c(a, "n"), c(b, "n"))
 
 
@@ -142,20 +146,34 @@ def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFr
     """
     postings = sets.select("uid", "n", F.posexplode("prefix").alias("at", "token"))
     one = Window.partitionBy("token")
-    met = postings.withColumn("k", F.count("*").over(one)).withColumn("first", F.min(F.struct("uid", "n", "at")).over(one))
-    shared = scratch.save(met.filter("k > 1").select("token", F.struct("uid", "n", "at").alias("m"), "first"), "shared")
+    # which text the others meet depends on the shingle, so that a group has a few of them
+    drawn = F.struct(F.xxhash64("uid", F.pmod("token", F.lit(PIVOTS))).alias("draw"), "uid", "n", "at")
+    met = postings.withColumn("k", F.count("*").over(one)).withColumn("pivot", F.min(drawn).over(one))
+    shared = scratch.save(met.filter("k > 1").select("token", F.struct("uid", "n", "at").alias("m"), "pivot"), "shared")
+    roots = scratch.save(components(known).select(F.col("node").alias("uid"), "root"), "roots")
+
+    def compared(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The pairs of different components that were compared, all links, and their components."""
+        end = lambda name: roots.select(F.col("uid").alias(name), F.col("root").alias(f"root_{name}"))
+        apart = pairs.distinct().join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+        tried = scratch.save(apart.select("a", "b"), "tried")
+        links = links.unionByName(scratch.save(similar(tried, texts), "near"))
+        return tried, links, scratch.save(components(links).select(F.col("node").alias("uid"), "root"), "roots")
+
+    def several(roots: DataFrame) -> DataFrame:
+        """Rows of the shingles that more than one component shares, with a text of the first and the last of these."""
+        of = shared.select("token", "m", F.col("m.uid").alias("uid")).join(roots, "uid", "left").select("token", "m", F.coalesce("root", "uid").alias("root"))
+        ends = of.groupBy("token").agg(F.min(F.struct("root", "m")).alias("lo"), F.max(F.struct("root", "m")).alias("hi")).filter("lo.root < hi.root")
+        return of.join(ends, "token")
+
     pair = lambda a, b: (F.least(f"{a}.uid", f"{b}.uid").alias("a"), F.greatest(f"{a}.uid", f"{b}.uid").alias("b"))
-    tried = shared.filter((F.col("m.uid") != F.col("first.uid")) & _possible("m", "first")).select(*pair("m", "first")).distinct()
-    before = scratch.save(components(known).select(F.col("node").alias("uid"), "root"), "roots")
-    root = lambda end: before.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}"))
-    apart_yet = tried.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    tried = scratch.save(apart_yet.select("a", "b"), "tried")
-    links = known.unionByName(scratch.save(similar(tried, texts), "near"))
-    roots = components(links).select(F.col("node").alias("uid"), "root")
-    of = shared.select("token", "m", F.col("m.uid").alias("uid")).join(roots, "uid", "left").select("token", "m", F.coalesce("root", "uid").alias("root"))
-    several = of.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    apart = scratch.save(of.join(several, "token"), "apart")
+    tried, links, roots = compared(shared.filter((F.col("m.uid") != F.col("pivot.uid")) & _possible("m", "pivot")).select(*pair("m", "pivot")), known, roots)
+    left = several(roots)
+    meets = lambda side: left.select("m", "root", F.col(f"{side}.root").alias("other"), F.col(f"{side}.m").alias("o"))
+    to_ends = meets("lo").unionByName(meets("hi")).filter((F.col("root") != F.col("other")) & _possible("m", "o"))
+    again, links, roots = compared(to_ends.select(*pair("m", "o")).join(tried, ["a", "b"], "left_anti"), links, roots)
+    apart = scratch.save(several(roots).select("token", "m", "root"), "apart")
     other = apart.select("token", F.col("m").alias("o"), F.col("root").alias("other"))
     pairs = apart.join(other, "token").filter((F.col("root") < F.col("other")) & _possible("m", "o")).select(*pair("m", "o")).distinct()
-    rest = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
+    rest = scratch.save(pairs.join(tried.unionByName(again), ["a", "b"], "left_anti"), "rest")
     return links.unionByName(scratch.save(similar(rest, texts), "near"))
