@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonde.operators.neighbours import dot, unit
+from sonde.operators.neighbours import cosine_quantiles, dot, unit
 
 
 def weighted_targets(placed: DataFrame, state: DataFrame, queries: DataFrame, objects: DataFrame, target: str) -> DataFrame:
@@ -31,7 +31,7 @@ def rolling_days(df: DataFrame, day: str, window_size: int) -> DataFrame:
     return df.withColumn("test_day", later).filter((F.col("test_day") <= F.lit(last)) & (F.col("test_day") > F.lit(first)))
 
 
-def similarity_quantiles(pairs: DataFrame, shares: list[float]) -> DataFrame:
+def similarity_quantiles(objects: DataFrame, shares: list[float]) -> DataFrame:
     """(share, similarity) of the distribution of pairwise similarities, to choose a threshold from."""
-    found = pairs.agg(F.percentile("similarity", F.array(*[F.lit(s) for s in shares])).alias("q"))
-    return found.select(F.posexplode("q").alias("k", "similarity")).select(F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("k") + 1).alias("share"), "similarity")
+    found = cosine_quantiles(objects, shares)
+    return objects.sparkSession.createDataFrame([(s, None if v is None else float(v)) for s, v in zip(shares, found, strict=True)], "share double, similarity double")

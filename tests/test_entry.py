@@ -33,7 +33,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no driver tables")
-@pytest.mark.parametrize("name", SOME + RAW)
+@pytest.mark.parametrize("name", SOME + ("similarity_quantiles",) + RAW)
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

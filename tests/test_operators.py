@@ -267,6 +267,18 @@ def test_exact_pairs(spark, block):
     assert neighbours.cosine_pairs(df.limit(0), 0.2).count() == 0
 
 
+@pytest.mark.parametrize(("block", "few"), [(2048, 1 << 18), (7, 1)])
+def test_quantiles_of_all_pairs(spark, block, few):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 3))
+    x[5], x[6:12] = 0, x[12]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "_id long, _vec array<double>")
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    shares = [0.0, 0.25, 0.5, 0.77, 0.999, 1.0]
+    assert neighbours.cosine_quantiles(df, shares, block, few) == pytest.approx(np.quantile((u @ u.T)[np.triu_indices(40, 1)], shares).tolist(), abs=1e-12)
+    assert [tuple(r) for r in prediction.similarity_quantiles(df.limit(1), [0.5]).collect()] == [(0.5, None)]
+
+
 def test_weighted_prediction(spark):
     objects = spark.createDataFrame([(0, [1.0, 0.0], 10.0), (1, [0.0, 1.0], 20.0), (2, [1.0, 1.0], 40.0)], "_id long, _vec array<double>, y double")
     state = spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "_node long, _cluster long")
