@@ -267,6 +267,22 @@ def test_exact_pairs(spark, block):
     assert neighbours.cosine_pairs(df.limit(0), 0.2).count() == 0
 
 
+@pytest.mark.parametrize(("hops", "block", "tile"), [(1, 4096, 8192), (2, 4096, 8192), (3, 7, 8)])
+def test_ball_is_what_hops_reach(spark, hops, block, tile):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 3))
+    x[7], x[20:24] = 0, x[20]
+    cluster_of = [5] * 24 + [-6] * 10 + [0] * 6
+    objects = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, _vec array<double>")
+    state = spark.createDataFrame(list(enumerate(cluster_of)), "_node long, _cluster long")
+    placed = spark.createDataFrame([(i, int(rng.choice([k for k in range(34) if k != i])), 0.5) for i in range(40)], "_row long, _core long, _sim double")
+    edges = neighbours.cosine_pairs(objects, 0.8)
+    asked, held = subgraphs.questions(placed, state, objects, leave_out=True), subgraphs.content(objects, state, edges)
+    want = subgraphs.within_hops(subgraphs.attached(asked, held, 0.8), edges, state, hops)
+    got = [tuple(r) for r in subgraphs.ball(asked, held, 0.8, hops, block, tile).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in want.collect()) and len(got) == len(set(got)) > 40
+
+
 @pytest.mark.parametrize(("block", "few"), [(2048, 1 << 18), (7, 1)])
 def test_quantiles_of_all_pairs(spark, block, few):
     rng = np.random.default_rng(4)
