@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -55,3 +56,11 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             held.append(b.slice(begin, end - begin))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def release() -> None:
+    """Hands memory that is no longer used back to the system; workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sonde.functions.shipping import map_batches, ship
+from sonde.functions.shipping import map_batches, release, ship
 from sonde.llm import scratch
 
 DEPTH, TOP, GROUPS = 5, 2, 128
@@ -268,14 +268,17 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from rows(key=key[n > 0].view(np.int64), n=n[n > 0])
             group = _group(key)
             some = np.unique(group)
-            yield from rows(batch=np.full(len(some), batch), g=some, asked=[_packed(key[group == g]) for g in some])
+            for k in range(0, len(some), 16):
+                yield from rows(batch=np.full(len(some[k : k + 16]), batch), g=some[k : k + 16], asked=[_packed(key[group == g]) for g in some[k : k + 16]])
 
+    release()
     open_, words, strings = None, [], []
     for b in batches:
         for batch, rows_ in zip(b.column("batch").to_pylist(), b.column("rows"), strict=True):
             if batch != open_ and open_ is not None:
                 yield from finished(open_, words, strings)
                 words, strings = [], []
+                release()
             open_, own = batch, _documents(rows_)
             train = np.array([not held_out(d) for d in own.column(0).to_pylist()], bool)
             lower, every, offsets = _words(own.column(1))
@@ -293,6 +296,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = [summed(*(np.concatenate(p) for p in zip(*words, strict=True)))]
     if open_ is not None:
         yield from finished(open_, words, strings)
+    del words, strings
+    release()
 
 
 def _pieces(texts: list[bytes], most: int = PIECE_BYTES) -> Iterator[list[bytes]]:
@@ -319,6 +324,7 @@ def top_model(strings: DataFrame) -> list[Level]:
     """
 
     def run(t: pa.Table) -> pa.Table:
+        release()
         nodes = levels(*_sorted_strings(t), TOP)
         _, whole = weigh(nodes, TOP)
         key, zeros, ones, split = summed(_parent(nodes[0][0], TOP - 1), nodes[0][1], nodes[0][2], whole)
@@ -340,6 +346,7 @@ def answers(strings: DataFrame, asked: DataFrame, top, tasks: int) -> DataFrame:
     """(batch, asked, logs): asked (batch, g, asked) with the log10 of each string's probability."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         model = [*top.value, *weigh(levels(*_sorted_strings(left), TOP), TOP)[0]]
         each = [_unpacked(x) for x in right.column("asked").to_pylist()]
         every = np.unique(np.concatenate(each)) if each else np.zeros(0, _U)
@@ -374,6 +381,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", asked_st
     schema = pa.schema([("doc_id", to_arrow_type(ids)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         of_words = right.filter(pc.is_valid(right.column("key")))
         order = np.argsort(of_words.column("key").to_numpy())
         key, count = of_words.column("key").to_numpy()[order], of_words.column("c").to_numpy()[order]

@@ -357,6 +357,18 @@ def tree_scores(train, asked, depth):
     return out
 
 
+def test_batches_are_answered_in_parts_and_leave_no_memory(monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([" ".join(map(str, rng.integers(0, 10**6, 300))) + "".join(map(chr, rng.integers(32, 127, 500))) for _ in range(40)])], names=["doc_id", "text"])
+    released = []
+    monkeypatch.setattr(context_tree, "release", lambda: released.append(1))
+    monkeypatch.setattr(context_tree.TaskContext, "get", lambda: type("Task", (), {"partitionId": staticmethod(lambda: 3)}))
+    out = list(context_tree._counted(context_tree._batched(iter([docs]))))
+    asked = [b for b in out if b.column("asked").null_count < b.num_rows]
+    assert sum(b.num_rows for b in asked) > 16 >= max(b.num_rows for b in asked)
+    assert len(released) >= 2
+
+
 @pytest.mark.parametrize("asked_strings", [context_tree.ASKED, 40])
 def test_context_tree(spark, asked_strings):
     rows = texts()
