@@ -62,9 +62,12 @@ def recurring(lines: DataFrame, texts: DataFrame, min_docs: int = MIN_DOCS) -> D
     mixed = forms.groupBy("leaf").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("all_forms")).filter((F.col("all_docs") >= min_docs) & (F.col("all_forms") > 1)).select("leaf")
     open_ = scratch.save(forms.filter(F.col("n") > LEADING).join(mixed, "leaf"), "open-forms")
     owners = scratch.save(each.select("uid", "leaf", "form").join(open_.filter(F.col("docs") < min_docs).select("leaf", "form"), ["leaf", "form"]), "owners")
-    wanted = open_.select("uid", "leaf", "form", "docs")
-    spoken = texts.join(wanted.select("uid").distinct(), "uid", "left_semi").select("uid", F.explode(F.transform(F.split("text", "\n"), _general)).alias("words")).filter(F.size("words") > LEADING)
-    spelled = spoken.withColumn("form", F.xxhash64("words")).join(wanted, ["uid", "form"]).groupBy("leaf", "form", "docs").agg(F.first("words").alias("words"))
+    wanted = open_.groupBy("uid").agg(F.collect_list(F.struct("form", "leaf", "docs")).alias("wanted"))
+    # texts lie by uid: what is sought goes to them, and words are spelled out and told apart there
+    general = F.filter(F.transform(F.split("text", "\n"), _general), lambda w: F.size(w) > LEADING)
+    named = F.transform(general, lambda w: F.struct(let(F.xxhash64(w), lambda h: F.get(F.filter("wanted", lambda t: t["form"] == h), F.lit(0))).alias("of"), w.alias("words")))
+    spoken = texts.join(wanted, "uid").select("uid", F.explode(F.filter(named, lambda x: x["of"].isNotNull())).alias("x")).select("uid", "x.of", "x.words")
+    spelled = spoken.groupBy("uid", "of.form", "of.leaf", "of.docs").agg(F.first("words").alias("words")).select("leaf", "form", "docs", "words")
     spelled = scratch.save(spelled, "spelled")
     words = spelled.select("leaf", "form", "docs", F.posexplode("words").alias("at", "word"))
     known = _in_documents(words, ["leaf", "at", "word"], owners, min_docs).withColumn("known", F.lit(True))
