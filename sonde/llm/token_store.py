@@ -107,14 +107,19 @@ class WordEncoder:
 
     def _places(self, words: pa.Array, known: dict[str, int], tokenizer) -> np.ndarray:
         """The number of each word's ids; new words are encoded and added."""
-        texts = words.to_pylist()
-        new = list(dict.fromkeys(w for w in texts if w not in known))
+        coded = words.dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        found = list(map(known.get, texts))
+        new = [w for w, at in zip(texts, found, strict=True) if at is None]
         if new:
             ids, length = self._encoded(tokenizer, new)
-            known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new)), strict=True))
+            places = range(len(self.ends) - 1, len(self.ends) - 1 + len(new))
+            known.update(zip(new, places, strict=True))
             self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(length, dtype=np.int32)].astype(np.int32)
             self.pool = np.concatenate([self.pool, *ids])
-        return np.fromiter(map(known.__getitem__, texts), np.int32, len(texts))
+            added = iter(places)
+            found = [next(added) if at is None else at for at in found]
+        return np.array(found, np.int32)[coded.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and where each text's ids end."""

@@ -357,6 +357,23 @@ def tree_scores(train, asked, depth):
     return out
 
 
+def test_words_that_differ_in_case_and_signs_are_looked_up_once():
+    encoder = token_store.WordEncoder(token_store.word_bpe())
+    asked = []
+
+    class Known(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    encoder.parts = Known()
+    texts = ["Some some SOME some, words", "words, Words. some"]
+    for _ in range(2):
+        ids, ends = encoder.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*encoder.whole.encode(t, add_special_tokens=False).ids, token_store.END_ID] for t in texts]
+    assert sorted(k for k in asked if k.isalpha()) == ["some", "some", "words", "words"]
+
+
 def test_batches_are_answered_in_parts_and_leave_no_memory(monkeypatch):
     rng = np.random.default_rng(6)
     docs = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([" ".join(map(str, rng.integers(0, 10**6, 300))) + "".join(map(chr, rng.integers(32, 127, 500))) for _ in range(40)])], names=["doc_id", "text"])
