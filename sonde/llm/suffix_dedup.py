@@ -455,11 +455,13 @@ def _of_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int
     Of all keys at most HOT_KEYS have more than that part of the rows; these are broadcast.
     """
     hot = F.col(n) > max(GROUP, total // HOT_KEYS)
-    if keys.filter(hot).isEmpty():
+    name = F.xxhash64(*on)
+    names = [r[0] for r in keys.filter(hot).select(name).collect()]  # at most HOT_KEYS numbers
+    if not names:
         return rows.join(keys, on)
-    marked = rows.join(F.broadcast(keys.filter(hot).withColumn("_hot", F.lit(True))), on, "left")  # at most HOT_KEYS rows
-    rest = marked.filter("_hot IS NULL").select(*rows.columns).join(keys.filter(~hot), on)
-    return marked.filter("_hot").drop("_hot").unionByName(rest)
+    # a key of another one's hash goes the same way on both sides
+    listed = name.isin(names)
+    return rows.filter(listed).join(F.broadcast(keys.filter(listed)), on).unionByName(rows.filter(~listed).join(keys.filter(~listed), on))
 
 
 def _with_shared_grams(docs: DataFrame, unit: Unit) -> DataFrame:

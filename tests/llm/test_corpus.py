@@ -357,6 +357,18 @@ def tree_scores(train, asked, depth):
     return out
 
 
+def test_hot_keys_are_joined_without_marking_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP", 3)
+    monkeypatch.setattr(suffix_dedup, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(k % 7 if k < 40 else 1, k % 2, k) for k in range(80)], "gram long, c1 long, uid long")
+    for on in (["gram"], ["gram", "c1"]):
+        keys = rows.groupBy(*on).count().filter("gram <> 2")
+        got = suffix_dedup._of_keys(rows, keys, on, "count", 80)
+        assert "LeftOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = rows.join(keys, on)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_words_that_differ_in_case_and_signs_are_looked_up_once():
     encoder = token_store.WordEncoder(token_store.word_bpe())
     asked = []
