@@ -72,7 +72,8 @@ BYTES = Unit(400, 100)
 #: Passages of over 50 words.
 PASSAGE = Unit(51, 8, words=True)
 LENGTH = BYTES.length
-PIECE_BYTES = 1 << 20
+#: Text that is looked at at once, so that what is made of it stays near the processor.
+PIECE_BYTES = 1 << 17
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -136,17 +137,19 @@ def anchors(data: np.ndarray, unit: Unit = BYTES, ends: np.ndarray | None = None
     grams = _mixed((upto[unit.gram :] - upto[: -unit.gram]) * _Powers.of(len(data))[0][: len(upto) - unit.gram])
     least = _sliding(grams, unit.span, np.minimum)
     if ends is not None:  # strings that reach into the next text say nothing
-        for k in range(1, unit.length):
-            at = ends - k
-            least[at[(at >= 0) & (at < len(least))]] = 0
+        at = (ends[:, None] - np.arange(1, unit.length)).ravel()
+        least[at[(at >= 0) & (at < len(least))]] = 0
     pad = np.zeros(unit.span - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.r_[pad, least, pad], unit.span, np.maximum) == grams)
     return at, grams[at]
 
 
+_SALTS = [n.to_bytes(8, "little") for n in range(max(BYTES.span, PASSAGE.span))]
+
+
 def _class(context: bytes, left: int) -> bytes:
     """A name for the surroundings: two equal names mean equal elements at equal places."""
-    return hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(8, "little")).digest()
+    return hashlib.blake2b(context, digest_size=16, salt=_SALTS[left] if left < len(_SALTS) else left.to_bytes(8, "little")).digest()
 
 
 # -- the suffix sort ------------------------------------------------------------------------
