@@ -59,3 +59,18 @@ def test_only_two_layers(spark):
     model = autoencoder.GraphAutoEncoder(3, autoencoder.Settings(layers=3, max_hops=3))
     with pytest.raises(ValueError, match="two layers"):
         autoencoder.scores(surroundings(spark)[1], model)
+
+
+def test_long_rows_lie_in_small_groups(spark):
+    """A reader holds up to 4096 rows of a group at once, which surroundings of megabytes would not fit."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from sonde.functions import staging
+
+    long = spark.range(0, 1000, 1, 1).selectExpr("id", "id % 2 AS part", "transform(sequence(1, 2000), i -> sin(2000 * id + i)) AS x")
+    saved = staging.save(long, "long", "part", group=1 << 20)
+    files = glob.glob(saved._scratch_path.removeprefix("file://") + "/part=*/*.parquet")
+    assert len(files) == 2 and saved.count() == 1000 and saved.filter("part = 1").count() == 500
+    assert max(pq.ParquetFile(f).metadata.row_group(k).num_rows for f in files for k in range(pq.ParquetFile(f).num_row_groups)) <= 200
