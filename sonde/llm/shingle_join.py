@@ -7,11 +7,14 @@ candidates, sizes and places rule most of them out, and the rest are compared in
 common a shingle is comes from a table of ``BUCKETS`` counts: it only makes the order, so that
 texts which share a common line do not all meet, and no result depends on it.
 
-Texts with equal sets are one. The others meet one text of each shared shingle, unless links
-that are known already tie them, then one of the first and one of the last component that are
-left there; only what is not of one component after that meets in pairs, so that a large group of
-near copies is not compared each with each. `simhash` calls this for the pairs that its
-fingerprints do not bring together.
+Texts with equal sets are one. The others meet two texts of each shared shingle, unless links
+that are known already tie them: one that is drawn, and the one with the fewest rarer shingles,
+which in a group of near copies is the text that they vary. Then they meet one of the first and
+one of the last component that are left there; only what is not of one component after that
+meets in pairs, so that a large group of near copies is not compared each with each. Of these
+pairs only such are kept whose sketches, the parities of ``SKETCH`` classes of shingles, differ
+in no more bits than two similar sets differ in shingles. `simhash` calls this for the pairs that
+its fingerprints do not bring together.
 
 A text of fewer words than a shingle has all of them as its only one, as has an empty or null
 text. Shingles are told apart by 64-bit hashes.
@@ -37,6 +40,8 @@ SHINGLE = 5
 #: The similarity as a fraction.
 NEAR = (4, 5)
 BUCKETS, BLOCK, PIVOTS = 1 << 20, 1 << 12, 3
+#: Bits of a sketch. Sets of some thousand shingles and more have random ones, which rule nothing out.
+SKETCH = 1 << 10
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 
@@ -59,6 +64,16 @@ def _buckets(h: np.ndarray) -> np.ndarray:
     return (h & _U(BUCKETS - 1)).astype(np.int64)
 
 
+def sketch(h: np.ndarray) -> np.ndarray:
+    """For each of SKETCH classes whether an odd number of the hashes falls into it, as signed longs.
+
+    A hash that only one of two sets has changes one bit, so the sketches of two sets differ in
+    no more bits than the sets differ in hashes.
+    """
+    odd = np.bincount((h >> _U(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _commonness(texts: DataFrame) -> np.ndarray:
     """How many shingles of all texts fall into each bucket; BUCKETS numbers come to the driver."""
 
@@ -87,25 +102,26 @@ def _commonness(texts: DataFrame) -> np.ndarray:
 
 
 def named_sets(texts: DataFrame, doc_id: T.DataType, fingerprint: Callable[[np.ndarray], int]) -> DataFrame:
-    """(doc_id, uid, of, n, fp, prefix): the set's name, its size, what fingerprint says of its
-    hashes (as a signed long), and its first shingles in the common order."""
+    """(doc_id, uid, of, n, fp, sketch, prefix): the set's name, its size, what fingerprint says of
+    its hashes (as a signed long), its sketch, and its first shingles in the common order."""
     order = texts.sparkSession.sparkContext.broadcast(_commonness(texts.select("text")))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, sizes, marks, prefixes = [], [], [], []
+            names, sizes, marks, sketches, prefixes = [], [], [], [], []
             for t in b.column(2):
                 h = shingles(t.as_py())
                 names.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sizes.append(len(h))
                 marks.append(fingerprint(h))
+                sketches.append(sketch(h))
                 first = len(h) - -(-NEAR[0] * len(h) // NEAR[1]) + 1
                 prefixes.append(h[np.lexsort((h, order.value[_buckets(h)]))[:first]].view(np.int64))
             offsets = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
             values = np.concatenate([*prefixes, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(marks, _U).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "uid", "of", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(marks, _U).view(np.int64)), pa.array(sketches, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "uid", "of", "n", "fp", "sketch", "prefix"])
 
-    schema = T.StructType([T.StructField("doc_id", doc_id), T.StructField("uid", T.LongType()), T.StructField("of", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", doc_id), T.StructField("uid", T.LongType()), T.StructField("of", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("prefix", T.ArrayType(T.LongType()))])
     return map_batches(texts.select("doc_id", "uid", "text"), run, schema)
 
 
@@ -124,6 +140,12 @@ def _possible(a: str, b: str) -> Column:
     return _enough(most, c(a, "n"), c(b, "n")) & _enough(F.least(c(a, "n"), c(b, "n")), c(a, "n"), c(b, "n"))
 
 
+def _close(x: str, y: str, na: Column, nb: Column) -> Column:
+    """Whether sets of these sizes can be similar by their sketches; similar ones differ in so few hashes."""
+    differ = sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return (NEAR[0] + NEAR[1]) * differ <= (NEAR[1] - NEAR[0]) * (na + nb)
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of uids whose sets are similar, compared in full."""
 
@@ -140,7 +162,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b) whose components are those of all similar pairs; sets has uid, n and prefix.
+    """Links (a, b) whose components are those of all similar pairs; sets has uid, n, sketch and prefix.
 
     known: links of similar pairs that were found before; they are among the result.
     """
@@ -148,8 +170,11 @@ def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFr
     one = Window.partitionBy("token")
     # which text the others meet depends on the shingle, so that a group has a few of them
     drawn = F.struct(F.xxhash64("uid", F.pmod("token", F.lit(PIVOTS))).alias("draw"), "uid", "n", "at")
-    met = postings.withColumn("k", F.count("*").over(one)).withColumn("pivot", F.min(drawn).over(one))
-    shared = scratch.save(met.filter("k > 1").select("token", F.struct("uid", "n", "at").alias("m"), "pivot"), "shared")
+    middle = F.struct("at", drawn.alias("of"))
+    met = postings.select("*", F.count("*").over(one).alias("k"), F.min("n").over(one).alias("fewest"), F.min(drawn).over(one).alias("pivot"), F.min(middle).over(one).alias("middle"))
+    # a shingle that stands too far back even for the smallest of these sets is nowhere a similar pair's first common one
+    possible = met.filter((F.col("k") > 1) & _enough(F.col("n") - F.col("at"), F.col("n"), F.col("fewest")))
+    shared = scratch.save(possible.select("token", F.struct("uid", "n", "at").alias("m"), "pivot", F.col("middle.of").alias("middle")), "shared")
     roots = scratch.save(components(known).select(F.col("node").alias("uid"), "root"), "roots")
 
     def compared(pairs: DataFrame, links: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -163,17 +188,20 @@ def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFr
     def several(roots: DataFrame) -> DataFrame:
         """Rows of the shingles that more than one component shares, with a text of the first and the last of these."""
         of = shared.select("token", "m", F.col("m.uid").alias("uid")).join(roots, "uid", "left").select("token", "m", F.coalesce("root", "uid").alias("root"))
-        ends = of.groupBy("token").agg(F.min(F.struct("root", "m")).alias("lo"), F.max(F.struct("root", "m")).alias("hi")).filter("lo.root < hi.root")
+        ends = of.groupBy("token").agg(F.min(F.struct("root", "m.at", "m")).alias("lo"), F.max(F.struct("root", -F.col("m.at"), "m")).alias("hi")).filter("lo.root < hi.root")
         return of.join(ends, "token")
 
     pair = lambda a, b: (F.least(f"{a}.uid", f"{b}.uid").alias("a"), F.greatest(f"{a}.uid", f"{b}.uid").alias("b"))
-    tried, links, roots = compared(shared.filter((F.col("m.uid") != F.col("pivot.uid")) & _possible("m", "pivot")).select(*pair("m", "pivot")), known, roots)
+    to_pivots = shared.select("m", F.explode(F.array("pivot", "middle")).alias("o")).filter((F.col("m.uid") != F.col("o.uid")) & _possible("m", "o"))
+    tried, links, roots = compared(to_pivots.select(*pair("m", "o")), known, roots)
     left = several(roots)
     meets = lambda side: left.select("m", "root", F.col(f"{side}.root").alias("other"), F.col(f"{side}.m").alias("o"))
     to_ends = meets("lo").unionByName(meets("hi")).filter((F.col("root") != F.col("other")) & _possible("m", "o"))
     again, links, roots = compared(to_ends.select(*pair("m", "o")).join(tried, ["a", "b"], "left_anti"), links, roots)
-    apart = scratch.save(several(roots).select("token", "m", "root"), "apart")
-    other = apart.select("token", F.col("m").alias("o"), F.col("root").alias("other"))
-    pairs = apart.join(other, "token").filter((F.col("root") < F.col("other")) & _possible("m", "o")).select(*pair("m", "o")).distinct()
+    sketches = sets.select(F.col("uid").alias("of"), "sketch")
+    apart = scratch.save(several(roots).select("token", "m", "root").join(sketches, F.col("m.uid") == F.col("of")).drop("of"), "apart")
+    other = apart.select("token", F.col("m").alias("o"), F.col("root").alias("other"), F.col("sketch").alias("sketch_o"))
+    near = _possible("m", "o") & _close("sketch", "sketch_o", F.col("m.n"), F.col("o.n"))
+    pairs = apart.join(other, "token").filter((F.col("root") < F.col("other")) & near).select(*pair("m", "o")).distinct()
     rest = scratch.save(pairs.join(tried.unionByName(again), ["a", "b"], "left_anti"), "rest")
     return links.unionByName(scratch.save(similar(rest, texts), "near"))
