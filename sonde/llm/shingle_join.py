@@ -147,7 +147,7 @@ def _close(x: str, y: str, na: Column, nb: Column) -> Column:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of uids whose sets are similar, compared in full."""
+    """Those of the pairs (a, b) of uids whose sets are similar, compared in full, as a saved table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +158,9 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
     sets = scratch.save(map_batches(texts.join(asked, "uid", "left_semi").select("uid", "text"), run, "uid long, h array<long>"), "sets")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("h").alias("y")), "b")
-    return both.filter(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+    near = scratch.save(both.filter(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "near")
+    scratch.drop(sets)
+    return near
 
 
 def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
@@ -182,7 +184,7 @@ def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFr
         end = lambda name: roots.select(F.col("uid").alias(name), F.col("root").alias(f"root_{name}"))
         apart = pairs.distinct().join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
         tried = scratch.save(apart.select("a", "b"), "tried")
-        links = links.unionByName(scratch.save(similar(tried, texts), "near"))
+        links = links.unionByName(similar(tried, texts))
         return tried, links, scratch.save(components(links).select(F.col("node").alias("uid"), "root"), "roots")
 
     def several(roots: DataFrame) -> DataFrame:
@@ -204,4 +206,4 @@ def similar_links(sets: DataFrame, texts: DataFrame, known: DataFrame) -> DataFr
     near = _possible("m", "o") & _close("sketch", "sketch_o", F.col("m.n"), F.col("o.n"))
     pairs = apart.join(other, "token").filter((F.col("root") < F.col("other")) & near).select(*pair("m", "o")).distinct()
     rest = scratch.save(pairs.join(tried.unionByName(again), ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(scratch.save(similar(rest, texts), "near"))
+    return links.unionByName(similar(rest, texts))

@@ -258,7 +258,8 @@ def keep_one_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     named = scratch.save(shingle_join.named_sets(texts, docs.schema[doc_id].dataType, majority), "sets")
     least = scratch.save(named.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")).select("m"), "least")  # equal sets go within their tasks
     sets = scratch.save(named.join(least.select("m.uid"), "uid", "left_semi"), "distinct")
-    near = scratch.save(shingle_join.similar(scratch.save(near_pairs(sets.select("uid", "fp"), limit), "pairs"), texts), "near")
+    scratch.drop(named)
+    near = shingle_join.similar(scratch.save(near_pairs(sets.select("uid", "fp"), limit), "pairs"), texts)
     roots = components(shingle_join.similar_links(sets, texts, near)).select(F.col("node").alias("uid"), "root")
     of = least.select("m", F.col("m.uid").alias("uid")).join(roots, "uid", "left").select("m", F.coalesce("root", "uid").alias("root"))
     first = of.groupBy("root").agg(F.min("m").alias("m"))

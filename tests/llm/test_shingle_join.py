@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from corpora import frame
 from test_corpus import classes
 
+from sonde.functions import staging
 from sonde.llm import shingle_join, simhash
 
 
@@ -83,3 +85,11 @@ def test_sketches_differ_in_no_more_bits_than_the_sets_in_shingles():
     assert all(bits <= hashes for bits, hashes in apart)
     # texts that have nothing in common are told apart
     assert max(bits for bits, _ in apart) > 150
+
+
+def test_sets_that_were_compared_do_not_stay_on_disk(spark):
+    before = set(staging._MADE)
+    simhash.keep_one_of_similar(frame(spark, corpus()[:30])).collect()
+    made = [Path(p.removeprefix("file://")) for p in staging._MADE if p not in before]
+    assert [p.name for p in made if p.name.startswith("sets-")]
+    assert not [p.name for p in made if p.name.startswith("sets-") and p.exists()]
